@@ -28,7 +28,7 @@ def rows():
     near = base[:60] + ["edited"] + base[61:]
     passage = words(60, 2)
     texts = [" ".join(base), " ".join(base), " ".join(near), words(200, 3), f"{words(30, 4)} {passage} {words(40, 5)}", f"{words(70, 6)}\n{passage} {words(20, 7)}", None, "", "", "x", "x" * 20000, words(20000, 8),
-             "a@b.co +49 (30) 1234567 10.0.0.1 4539578763621486 " + words(10, 9), words(60, 10), " \t\n ", "Größe ÀÉ 你好 x²½ don't"]
+             "a@b.co +49 (30) 1234567 x 10.0.0.1 y 4111111111111111 z " + words(10, 9), words(60, 10), " \t\n ", "Größe ÀÉ 你好 x²½ don't"]
     out = [(i, t, "en", random.Random(i).choice(["s1", "s2", "é", None]), None, 1, "k", "sk", 2, 3, 4, "w", "z") for i, t in enumerate(texts)]
     out += [out[3], (None, texts[13], None, None, None, None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None, None, None, None)]
     return out
