@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,11 +100,10 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, width: int = WIDTH) -> tuple[
     return mix(total[at]), rows[at], at
 
 
+split_words = re.compile(r"[^\x20\x09-\x0D]+").findall
+
+
 def shingle_set(text: str | None, width: int = WIDTH) -> set:
     """The exact shingles of one text, for verification."""
-    w = (text or "").translate(_SPACES).split(" ")
-    w = [x for x in w if x]
+    w = split_words(text or "")
     return {tuple(w)} if 0 < len(w) < width else set(zip(*[w[i:] for i in range(width)]))
-
-
-_SPACES = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
