@@ -9,9 +9,9 @@ the number of elements plus ``k ln k`` darts, not their product; where a coordin
 
 Texts that are equal share one key and are compared once. Bands of the signature give buckets. Each
 bucket links its members to one leader, so a bucket of m copies gives m - 1 pairs; links are verified by the exact
-similarity of the word shingles. Members of a bucket that are still in different components
-afterwards are then compared with each other too, so that no candidate of the bands is lost, while what already
-hangs together is not paired again. Components are found by label passing over tables, never on the driver.
+similarity of the word shingles. Members that hang apart from their bucket's main component then try another of its members, round after round,
+which brings in nearly all of a large group at one pair each. What is still apart after that is compared with all members
+of other components, so that no candidate of the bands is lost, while what already hangs together is not paired again. Components are found by label passing over tables, never on the driver.
 
 Defined results: a null text counts as empty; equal texts are one class, also empty ones; repeated rows and null ids stay rows of
 their class, whose id is its least id (null if it has none); an empty table gives no rows.
@@ -32,7 +32,9 @@ from volumetra.llm import wordhash as wh
 from volumetra.llm.common import table, text_or_empty
 
 U = np.uint64
-BANDS, ROWS = 24, 5
+BANDS, ROWS = 28, 6
+#: Rounds in which a bucket's stragglers try one member of its main component each, before they try all.
+TRIES = 5
 SIMILARITY = 0.8
 
 
@@ -182,16 +184,25 @@ def links(signs: DataFrame, docs: DataFrame, text_col="text", similarity: float
         return table(both.select("a", "b", jaccard("ta", "tb").alias("s")).where(F.col("s") >= similarity).select("a", "b"), name)
 
     stars = table(rows.where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct(), "nd-stars")
-    first = verified(stars, "nd-links1")
-    comps = components(first, "nd-cc1")
-    named = rows.join(comps, "key", "left").select("key", "bucket", F.coalesce("comp", "key").alias("comp"))
-    split = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    split = split.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp"))["comp"].alias("main")).where("comps > 1")
-    mixed = table(named.join(split.select("bucket", "main"), "bucket"), "nd-mixed")
-    one = mixed.where("comp <> main").select("bucket", F.col("key").alias("x"), F.col("comp").alias("cx"))
-    other = mixed.select("bucket", F.col("key").alias("y"), F.col("comp").alias("cy"))
-    across = one.join(other, "bucket").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return first.unionByName(verified(across.join(stars, ["a", "b"], "left_anti"), "nd-links2"))
+    found, tested = verified(stars, "nd-links0"), stars
+    for step in range(1, TRIES + 2):
+        comps = components(found, f"nd-cc{step}")
+        named = rows.join(comps, "key", "left").select("key", "bucket", F.coalesce("comp", "key").alias("comp"))
+        split = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key", F.lit(step)), "key")).alias("some"))
+        main = F.max(F.struct("n", "comp", "some")).alias("m")
+        split = split.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), main).where("comps > 1").select("bucket", F.col("m.comp").alias("main"), F.col("m.some.key").alias("some"))
+        mixed = table(named.join(split, "bucket"), f"nd-mixed{step}")
+        apart = mixed.where("comp <> main")
+        if step <= TRIES:  # one member of the main component for each straggler: as many pairs as stragglers
+            pairs = apart.select(F.least("key", "some").alias("a"), F.greatest("key", "some").alias("b"))
+        else:  # the rest, exactly: each straggler with all members of other components
+            one = apart.select("bucket", F.col("key").alias("x"), F.col("comp").alias("cx"))
+            other = mixed.select("bucket", F.col("key").alias("y"), F.col("comp").alias("cy"))
+            pairs = one.join(other, "bucket").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        pairs = table(pairs.distinct().join(tested, ["a", "b"], "left_anti"), f"nd-pairs{step}")
+        more = verified(pairs, f"nd-links{step}")
+        found, tested = found.unionByName(more), tested.unionByName(pairs)
+    return found
 
 
 def classes(docs: DataFrame, id_col="doc_id", text_col="text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
