@@ -34,7 +34,7 @@ from volumetra.llm.common import table, text_or_empty
 U = np.uint64
 BANDS, ROWS = 28, 6
 #: Rounds in which a bucket's stragglers try one member of its main component each, before they try all.
-TRIES = 5
+TRIES = 4
 SIMILARITY = 0.8
 
 
@@ -185,24 +185,28 @@ def links(signs: DataFrame, docs: DataFrame, text_col="text", similarity: float
 
     stars = table(rows.where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct(), "nd-stars")
     found, tested = verified(stars, "nd-links0"), stars
-    for step in range(1, TRIES + 2):
-        comps = components(found, f"nd-cc{step}")
+    comps, tries = components(found, "nd-cc"), 0
+    while True:
         named = rows.join(comps, "key", "left").select("key", "bucket", F.coalesce("comp", "key").alias("comp"))
-        split = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key", F.lit(step)), "key")).alias("some"))
+        split = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key", F.lit(tries)), "key")).alias("some"))
         main = F.max(F.struct("n", "comp", "some")).alias("m")
         split = split.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), main).where("comps > 1").select("bucket", F.col("m.comp").alias("main"), F.col("m.some.key").alias("some"))
-        mixed = table(named.join(split, "bucket"), f"nd-mixed{step}")
+        mixed = table(named.join(split, "bucket"), f"nd-mixed{tries}")
         apart = mixed.where("comp <> main")
-        if step <= TRIES:  # one member of the main component for each straggler: as many pairs as stragglers
+        if tries < TRIES:  # one member of the main component for each straggler: as many pairs as stragglers
             pairs = apart.select(F.least("key", "some").alias("a"), F.greatest("key", "some").alias("b"))
-        else:  # the rest, exactly: each straggler with all members of other components
-            one = apart.select("bucket", F.col("key").alias("x"), F.col("comp").alias("cx"))
-            other = mixed.select("bucket", F.col("key").alias("y"), F.col("comp").alias("cy"))
-            pairs = one.join(other, "bucket").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        pairs = table(pairs.distinct().join(tested, ["a", "b"], "left_anti"), f"nd-pairs{step}")
-        more = verified(pairs, f"nd-links{step}")
-        found, tested = found.unionByName(more), tested.unionByName(pairs)
-    return found
+            pairs = table(pairs.distinct().join(tested, ["a", "b"], "left_anti"), f"nd-pairs{tries}")
+            more = verified(pairs, f"nd-links{tries + 1}")
+            tested, tries = tested.unionByName(pairs), tries + 1
+            if more.limit(1).count():
+                found = found.unionByName(more)
+                comps = components(found, f"nd-cc{tries}")
+                continue
+        # nothing was near its try (or the tries are over), so the rest exactly: each straggler with all members of other components
+        one = apart.select("bucket", F.col("key").alias("x"), F.col("comp").alias("cx"))
+        other = mixed.select("bucket", F.col("key").alias("y"), F.col("comp").alias("cy"))
+        pairs = one.join(other, "bucket").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        return found.unionByName(verified(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "nd-links-rest"))
 
 
 def classes(docs: DataFrame, id_col="doc_id", text_col="text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
