@@ -8,10 +8,11 @@ similarity. Only darts up to a rank that fills all coordinates with near certain
 the number of elements plus ``k ln k`` darts, not their product; where a coordinate stays empty, the rank is doubled.
 
 Texts that are equal share one key and are compared once. Bands of the signature give buckets. Each
-bucket links its members to one leader, so a bucket of m copies gives m - 1 pairs; links are verified by the exact
-similarity of the word shingles. Members that hang apart from their bucket's main component then try another of its members, round after round,
-which brings in nearly all of a large group at one pair each. What is still apart after that is compared with all members
-of other components, so that no candidate of the bands is lost, while what already hangs together is not paired again. Components are found by label passing over tables, never on the driver.
+bucket links its members to one leader, the member that meets most others over all bands: it lies near the middle of its group, so a bucket of m copies
+gives m - 1 pairs and nearly all links. Links are verified by the exact similarity of the word shingles. Members that hang apart from their bucket's main
+component are then compared with members of other components, but only where a link is possible: of a set's shingles, only those that occur
+in two components or more can be shared across components, and a pair whose smaller number of these is below what the similarity asks for is never made.
+That bound is exact, so no candidate of the bands is lost. Components are found by label passing over tables, never on the driver.
 
 Defined results: a null text counts as empty; equal texts are one class, also empty ones; repeated rows and null ids stay rows of
 their class, whose id is its least id (null if it has none); an empty table gives no rows.
@@ -33,8 +34,6 @@ from volumetra.llm.common import table, text_or_empty
 
 U = np.uint64
 BANDS, ROWS = 28, 6
-#: Rounds in which a bucket's stragglers try one member of its main component each, before they try all.
-TRIES = 4
 SIMILARITY = 0.8
 
 
@@ -169,50 +168,73 @@ def components(links: DataFrame, name: str = "cc") -> DataFrame:
             return labels
 
 
-def links(signs: DataFrame, docs: DataFrame, text_col="text", similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) between keys of different texts."""
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(key, comp, text) -> (key, comp, shingles): the hashes of each text's distinct shingles. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, at in wh.pieces(batch.column(2)):
+                hashes, owners, _, _ = wh.words(data, at)
+                shingle, owner, _ = wh.shingles(hashes, owners)
+                order = np.lexsort((shingle, owner))
+                shingle, owner = shingle[order], owner[order]
+                new = np.ones(len(owner), dtype=bool)
+                new[1:] = (shingle[1:] != shingle[:-1]) | (owner[1:] != owner[:-1])
+                ends = np.cumsum(np.bincount(owner[new], minlength=j - i))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(shingle[new].astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], lists], names=["key", "comp", "shingles"])
+
+    return texts.select("key", "comp", "text").mapInArrow(run, "key binary, comp binary, shingles array<bigint>")
+
+
+def connected(signs: DataFrame, docs: DataFrame, text_col="text", similarity: float = SIMILARITY) -> DataFrame:
+    """(key, comp) of the keys that have a verified link to a different text."""
     per_key = table(signs.groupBy("key").agg(F.first("buckets").alias("buckets")), "nd-keys")
     rows = per_key.select("key", F.explode("buckets").alias("bucket"))
-    leaders = rows.groupBy("bucket").agg(F.min("key").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "lead")
-    rows = table(rows.join(leaders, "bucket"), "nd-shared")
-    needed = rows.select("key").distinct()
-    texts = docs.select(text_key(text_col).alias("key"), text_or_empty(text_col).alias("text")).join(needed, "key", "left_semi")
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = table(rows.join(shared, "bucket"), "nd-shared")
+    meets = rows.groupBy("key").agg(F.sum("n").alias("meets"))
+    leaders = rows.join(meets, "key").groupBy("bucket").agg(F.max(F.struct("meets", "key")).alias("m")).select("bucket", F.col("m.key").alias("lead"))
+    stars = rows.join(leaders, "bucket").where("key <> lead").select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b"))
+    stars = table(stars.distinct(), "nd-stars")
+    texts = docs.select(text_key(text_col).alias("key"), text_or_empty(text_col).alias("text")).join(rows.select("key").distinct(), "key", "left_semi")
     texts = table(texts.groupBy("key").agg(F.first("text").alias("text")), "nd-texts")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
         return table(both.select("a", "b", jaccard("ta", "tb").alias("s")).where(F.col("s") >= similarity).select("a", "b"), name)
 
-    stars = table(rows.where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct(), "nd-stars")
-    found, tested = verified(stars, "nd-links0"), stars
-    comps, tries = components(found, "nd-cc"), 0
-    while True:
-        named = rows.join(comps, "key", "left").select("key", "bucket", F.coalesce("comp", "key").alias("comp"))
-        split = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key", F.lit(tries)), "key")).alias("some"))
-        main = F.max(F.struct("n", "comp", "some")).alias("m")
-        split = split.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), main).where("comps > 1").select("bucket", F.col("m.comp").alias("main"), F.col("m.some.key").alias("some"))
-        mixed = table(named.join(split, "bucket"), f"nd-mixed{tries}")
-        apart = mixed.where("comp <> main")
-        if tries < TRIES:  # one member of the main component for each straggler: as many pairs as stragglers
-            pairs = apart.select(F.least("key", "some").alias("a"), F.greatest("key", "some").alias("b"))
-            pairs = table(pairs.distinct().join(tested, ["a", "b"], "left_anti"), f"nd-pairs{tries}")
-            more = verified(pairs, f"nd-links{tries + 1}")
-            tested, tries = tested.unionByName(pairs), tries + 1
-            if more.limit(1).count():
-                found = found.unionByName(more)
-                comps = components(found, f"nd-cc{tries}")
-                continue
-        # nothing was near its try (or the tries are over), so the rest exactly: each straggler with all members of other components
-        one = apart.select("bucket", F.col("key").alias("x"), F.col("comp").alias("cx"))
-        other = mixed.select("bucket", F.col("key").alias("y"), F.col("comp").alias("cy"))
-        pairs = one.join(other, "bucket").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        return found.unionByName(verified(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "nd-links-rest"))
+    comps = components(verified(stars, "nd-links"), "nd-cc")
+    named = rows.join(comps, "key", "left").select("key", "bucket", F.coalesce("comp", "key").alias("comp"))
+    split = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    split = split.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("m")).where("comps > 1").select("bucket", F.col("m.comp").alias("main"))
+    mixed = table(named.join(split, "bucket"), "nd-mixed")
+    sets = table(shingle_sets(texts.join(mixed.select("key", "comp").distinct(), "key")), "nd-sets")
+    each = sets.select("key", "comp", F.explode("shingles").alias("shingle"))
+    across = table(each.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shingle"), "nd-across")
+    reach = each.join(across, "shingle", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("reach"))
+    # a link needs similarity * union <= overlap <= reach, and the union holds all of either set
+    live = sets.select("key", F.size("shingles").cast("long").alias("size")).join(reach, "key").where(F.col("reach") >= F.col("size") * similarity)
+    live = table(mixed.join(live, "key"), "nd-live")
+    one = live.where("comp <> main").select("bucket", F.col("key").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("sx"), F.col("reach").alias("rx"))
+    other = live.select("bucket", F.col("key").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("sy"), F.col("reach").alias("ry"))
+    possible = F.least("rx", "ry") * (1 + similarity) >= (F.col("sx") + F.col("sy")) * similarity - 1e-6
+    pairs = one.join(other, (one.bucket == other.bucket) & (F.col("cx") != F.col("cy")) & possible)
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    more = verified(table(pairs, "nd-pairs"), "nd-links-rest")
+    # the second pass only joins components, so its graph has one node for each
+    name = lambda k: comps.select(F.col("key").alias(k), F.col("comp").alias(f"c{k}"))
+    between = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(between, "nd-cc-rest")
+    far = joined.select(F.col("key").alias("comp"), F.col("comp").alias("last"))
+    known = comps.join(far, "comp", "left").select("key", F.coalesce("last", "comp").alias("comp"))
+    return known.unionByName(joined.join(comps, "key", "left_anti"))
 
 
 def classes(docs: DataFrame, id_col="doc_id", text_col="text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(signs, by key): the second has key, class_id, class_size, chosen (the key that stays) and times (rows with that key and id)."""
     signs = table(signed(docs, id_col, text_col), "nd-signs")
-    comps = components(links(signs, docs, text_col, similarity), "nd-cc")
+    comps = connected(signs, docs, text_col, similarity)
     ids = signs.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("times"))
     per_key = ids.groupBy("key").agg(F.sum("times").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "times")).alias("least"))
     named = table(per_key.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key")), "nd-named")
