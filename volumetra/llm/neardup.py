@@ -11,7 +11,7 @@ Texts that are equal share one key and are compared once. Bands of the signature
 bucket links its members to one leader, the member that meets most others over all bands: it lies near the middle of its group, so a bucket of m copies
 gives m - 1 pairs and nearly all links. Links are verified by the exact similarity of the word shingles. Members that hang apart from their bucket's main
 component are then compared with members of other components, but only where a link is possible: of a set's shingles, only those that occur
-in two components or more can be shared across components, and a pair whose smaller number of these is below what the similarity asks for is never made.
+in two components or more can be shared across components, counted by groups of their hashes, and a pair whose smaller counts sum to less than the similarity asks for is never made.
 That bound is exact, so no candidate of the bands is lost. Components are found by label passing over tables, never on the driver.
 
 Defined results: a null text counts as empty; equal texts are one class, also empty ones; repeated rows and null ids stay rows of
@@ -35,6 +35,10 @@ from volumetra.llm.common import table, text_or_empty
 U = np.uint64
 BANDS, ROWS = 28, 6
 SIMILARITY = 0.8
+#: Groups of shingles, by hash, in which the largest possible overlap of two sets is counted.
+GROUPS = 32
+#: Rows whose signatures are made at a time: darts take some 1,500 entries a row, however short its text.
+MOST_ROWS = 512
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -110,7 +114,7 @@ def signed(docs: DataFrame, id_col="doc_id", text_col="text", bands=BANDS, rows=
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, at in wh.pieces(batch.column(2)):
+            for i, j, data, at in wh.pieces(batch.column(2), rows=MOST_ROWS):
                 hashes, owners, _, _ = wh.words(data, at)
                 shingle, owner, _ = wh.shingles(hashes, owners)
                 signatures = darts(shingle, owner, j - i, bands * rows)
@@ -212,13 +216,15 @@ def connected(signs: DataFrame, docs: DataFrame, text_col="text", similarity: fl
     sets = table(shingle_sets(texts.join(mixed.select("key", "comp").distinct(), "key")), "nd-sets")
     each = sets.select("key", "comp", F.explode("shingles").alias("shingle"))
     across = table(each.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shingle"), "nd-across")
-    reach = each.join(across, "shingle", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("reach"))
+    part = [F.count(F.when(F.pmod("shingle", F.lit(GROUPS)) == g, 1)).cast("int").alias(f"r{g}") for g in range(GROUPS)]
+    reach = each.join(across, "shingle", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("reach"), *part)
     # a link needs similarity * union <= overlap <= reach, and the union holds all of either set
     live = sets.select("key", F.size("shingles").cast("long").alias("size")).join(reach, "key").where(F.col("reach") >= F.col("size") * similarity)
     live = table(mixed.join(live, "key"), "nd-live")
-    one = live.where("comp <> main").select("bucket", F.col("key").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("sx"), F.col("reach").alias("rx"))
-    other = live.select("bucket", F.col("key").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("sy"), F.col("reach").alias("ry"))
-    possible = F.least("rx", "ry") * (1 + similarity) >= (F.col("sx") + F.col("sy")) * similarity - 1e-6
+    side = lambda df, k, c, s, r: df.select("bucket", F.col("key").alias(k), F.col("comp").alias(c), F.col("size").alias(s), *[F.col(f"r{g}").alias(f"{r}{g}") for g in range(GROUPS)])
+    one, other = side(live.where("comp <> main"), "x", "cx", "sx", "rx"), side(live, "y", "cy", "sy", "ry")
+    most = sum((F.least(f"rx{g}", f"ry{g}") for g in range(GROUPS)), F.lit(0))
+    possible = most * (1 + similarity) >= (F.col("sx") + F.col("sy")) * similarity - 1e-6
     pairs = one.join(other, (one.bucket == other.bucket) & (F.col("cx") != F.col("cy")) & possible)
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = verified(table(pairs, "nd-pairs"), "nd-links-rest")

@@ -51,12 +51,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
-def pieces(column: pa.Array, most: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets from 0) of runs of rows with about ``most`` bytes."""
+def pieces(column: pa.Array, most: int = PIECE, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets from 0) of runs of at most ``rows`` rows with about ``most`` bytes."""
     data, at = buffers(column)
     i, n = 0, len(at) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + most, side="right")) - 1)
+        j = min(i + rows, max(i + 1, int(np.searchsorted(at, at[i] + most, side="right")) - 1))
         yield i, j, data[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
 
