@@ -269,6 +269,17 @@ def test_pii(docs, rows):
     assert np.array(labels)[passed].mean() > 0.97 and passed[np.array(labels) == 1].mean() > 0.8
 
 
+def test_pii_proposes_an_address_whatever_else_the_text_holds():
+    trees, cut = pii.model()
+    for form in ("{at}", "[ at ]", "( at )", "{ at }", "[at]", "(at)"):
+        text = f"mail jane.roe {form} mail.com now"
+        span = ("email", 5, text.index(" now"))
+        assert span in pii.candidates(text) and span in pii.candidates(text + " an anecdote"), form
+        assert pii.find([text], trees, cut)[0][1] == [span], form
+    assert ("email", 0, 16) in pii.candidates("jane at mail.com")
+    assert not pii.candidates("what a catalogue")
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     vocabulary = words(400, 20).split()
