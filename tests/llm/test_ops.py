@@ -342,6 +342,21 @@ def test_html(spark):
     assert out[None]["text"] == out[0]["text"]
 
 
+def test_html_keeps_what_only_copies_share(spark):
+    page = "<body><div class=top><p>Site name</p></div><div class=x>{}<p>Words {} here</p></div></body>"
+    data = [(i, "http://many.example/", page.format("", i)) for i in range(40)]
+    data += [(100 + i, "http://many.example/", page.format("<h2>Only in copies</h2><blockquote>A quote</blockquote>", "of copies")) for i in range(5)]
+    data += [(200 + i, "http://same.example/", "<article><h1>One title</h1><p>One paragraph</p></article>") for i in range(4)]
+    data += [(300 + i, "http://copies.example/", page.format("", "alike")) for i in range(4)]
+    data += [(400 + i, "http://main.example/", f"<main><h1>Weekly report</h1><p>Week {i}</p></main>") for i in range(5)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
+    out = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    assert len(out) == len(data) and out[7] == "Words 7 here"
+    assert out[102] == "Only in copies\n\nA quote\n\nWords of copies here"
+    assert out[200] == "One title\n\nOne paragraph" and out[301] == "Site name\n\nWords alike here"
+    assert out[402] == "Weekly report\n\nWeek 2"
+
+
 def test_wrappers_align_pages():
     a, b, c = (html.as_wrapper(html.parse(s)) for s in ("<div><p>x</p><p>y</p></div><hr>", "<div><p>x</p></div><ul><li>1<li>2</ul><hr>", "<div><p>z</p><p>z</p><p>z</p></div><hr>"))
     w = html.merged(html.merged(a, b), c)

@@ -7,11 +7,11 @@ becomes a slot. Aligning page after page changes the wrapper only at mismatches.
 partition infers one for every host it sees and these are merged by host: all pages take part, and a host with a third of them sends a few wrappers, not its pages.
 
 The wrapper's slots decide what is text: elements for menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments by their
-names go; so do slots that hold the same text on all pages of a host and slots that are mostly links. What is left of
+names go; so do slots outside articles that hold the same text on nearly all different pages of a host, and slots that are mostly links. What is left of
 the page's article (or main element, or body) are the blocks.
 
 Defined results: null, empty or markup-only html gives an empty text; a page cut off in the middle gives what is there; pages without a host in their url share the wrapper of the empty host;
-repeated pages and null ids are pages like others; an empty table gives no rows.
+repeated pages and null ids are pages like others, but copies of a page count once for its host's wrapper; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -177,14 +177,16 @@ def expression(w: list) -> str:
     return f"({body}){'*' if w[1] and w[2] else '+' if w[1] else '?'}" if w[1] or w[2] else body
 
 
-def fixed_slots(w: list, path: str = "", least: int = 3) -> list[str]:
-    """Paths of the slots that aren't content: one text on all of ``least`` pages or more, or mostly links."""
+def fixed_slots(w: list, path: str = "", least: int = 3, pages: int | None = None, inside: bool = False) -> list[str]:
+    """Paths of the slots that aren't content: mostly links, or outside articles one text on nine in ten of the wrapper's pages and ``least`` at least."""
     out = []
     here = f"{path}/{w[0]}"
+    pages = w[3] if pages is None else pages
+    inside = inside or w[0].split(".")[0] in ("article", "main")
     for x in w[4]:
         if x[0] is not None:
-            out += fixed_slots(x, here, least)
-        elif (x[1] is not None and x[4] >= least) or 2 * x[3] > x[2]:
+            out += fixed_slots(x, here, least, pages, inside)
+        elif (not inside and x[1] is not None and x[4] >= least and 10 * x[4] >= 9 * pages) or 2 * x[3] > x[2]:
             out.append(here)
     slots: dict[str, bool] = {}
     for x in w[4]:
@@ -243,7 +245,7 @@ def _host(url: str):
 
 
 def wrappers(pages: DataFrame, url_col="url", html_col="html") -> DataFrame:
-    """(host, wrapper as json, fixed slots): first one wrapper a partition and host, then one a host."""
+    """(host, wrapper as json, fixed slots): first one wrapper a partition and host, then one a host. Equal pages of a host are taken once."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[str, list] = {}
@@ -267,6 +269,7 @@ def wrappers(pages: DataFrame, url_col="url", html_col="html") -> DataFrame:
         return pd.DataFrame({"host": [p["host"].iloc[0]], "wrapper": [json.dumps(w)], "fixed": [fixed_slots(w)]})
 
     slim = pages.select(_host(url_col).alias("host"), F.col(html_col).alias("html"))
+    slim = slim.groupBy("host", F.xxhash64("html").alias("page")).agg(F.first("html").alias("html")).select("host", "html")
     parts = slim.mapInPandas(partial, "host string, wrapper string")
     return parts.groupBy("host").applyInPandas(whole, "host string, wrapper string, fixed array<string>")
 
