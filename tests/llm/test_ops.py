@@ -357,6 +357,15 @@ def test_html_keeps_what_only_copies_share(spark):
     assert out[402] == "Weekly report\n\nWeek 2"
 
 
+def test_html_drops_what_all_pages_share_at_any_length(spark):
+    data = []
+    for n in (30, 200, 201, 5000):
+        block = "".join(random.Random(n).choice("abcdefgh ") for _ in range(n - 2)).strip().replace("  ", " x")
+        data += [(10000 * i + n, f"http://h{n}.example/", f"<div class=q><p>.{block}.</p></div><div class=x><p>Words {i} {'here ' * 80}</p></div>") for i in range(5)]
+    out = html.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()
+    assert len(out) == 20 and all(r["text"] == f"Words {r['page_id'] // 10000} {'here ' * 80}".strip() for r in out)
+
+
 def test_wrappers_align_pages():
     a, b, c = (html.as_wrapper(html.parse(s)) for s in ("<div><p>x</p><p>y</p></div><hr>", "<div><p>x</p></div><ul><li>1<li>2</ul><hr>", "<div><p>z</p><p>z</p><p>z</p></div><hr>"))
     w = html.merged(html.merged(a, b), c)

@@ -16,6 +16,7 @@ repeated pages and null ids are pages like others, but copies of a page count on
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -123,13 +124,18 @@ def parse(source: str | None) -> Node:
 # A wrapper is [label, many, optional, pages, items]; an item is a wrapper or a slot [None, same text or None, characters, link characters, pages].
 
 
+def _same(text: str) -> str:
+    """What stands for a slot's text: itself, or for a longer one a 128-bit hash (behind a line break, which no slot's text has)."""
+    return text if len(text) <= 32 else "\n" + hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def as_wrapper(node: Node) -> list:
     items: list = []
     for x in node.items:
         if type(x) is list:
             s = " ".join(x[0].split())
             if s:
-                items.append([None, s[:200] if len(s) <= 200 else None, len(s), x[1], 1])
+                items.append([None, _same(s), len(s), x[1], 1])
         else:
             items.append(as_wrapper(x) if not x.skip else [x.label, 0, 0, 1, []])
     return [node.label, 0, 0, 1, _folded(items)]
