@@ -215,6 +215,21 @@ def test_repeated_passages(docs, rows):
     assert (4, 30, 90) in spans and (5, 70, 130) in spans
 
 
+def test_passages_join_over_long_edits():
+    w, other = words(120, 50).split(), words(200, 51).split()
+    around = lambda x: " ".join([*other[:20], *x, *other[20:40]])
+    a = around(w[:90])
+    inserted = " ".join([*other[50:60], *w[:45], *other[60:66], *w[45:90], *other[70:80]])
+    assert passages.shared_passages(a, inserted, [(25, 15)]) == passages.shared_passages(a, inserted, [(70, 66)]) == [(20, 110, 10, 106)]
+    replaced = " ".join([*w[:48], *other[60:65], *w[53:100]])
+    assert passages.shared_passages(" ".join(w[:100]), replaced, [(3, 3)]) == [(0, 100, 0, 100)]
+    apart = " ".join([*w[:45], *other[60:100], *w[45:90]])
+    assert passages.shared_passages(" ".join(w[:90]), apart, [(3, 3), (60, 100)]) == []
+    two = " ".join([*w[:60], *other[60:160], *w[60:120]])
+    assert passages.shared_passages(" ".join(w), two, [(3, 3), (70, 170)]) == [(0, 60, 0, 60), (60, 120, 160, 220)]
+    passages.shared_passages("a b c " * 6000, "a b c " * 7000, [(0, 0), (3, 0)])
+
+
 def test_decontamination(docs, spark):
     item = words(60, 2).split()
     edited = [w if i % 7 else "other" for i, w in enumerate(item[10:55])]
