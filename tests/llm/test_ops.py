@@ -215,6 +215,16 @@ def test_repeated_passages(docs, rows):
     assert (4, 30, 90) in spans and (5, 70, 130) in spans
 
 
+def test_passages_of_all_partners(spark):
+    data = []
+    for g in range(30):
+        w = words(80, 1000 + g).split()
+        data += [(3 * g, " ".join(w)), (3 * g + 1, f"{' '.join(w[:60])} {words(40, 2000 + g)}"), (3 * g + 2, f"{' '.join(w[20:])} {words(40, 3000 + g)}")]
+    out = passages.repeated_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    spans = {(r["doc_id"], r["start"], r["end"]) for r in out}
+    assert spans == {x for g in range(30) for x in ((3 * g, 0, 60), (3 * g, 20, 80), (3 * g + 1, 0, 60), (3 * g + 2, 0, 60))}
+
+
 def test_passages_join_over_long_edits():
     w, other = words(120, 50).split(), words(200, 51).split()
     around = lambda x: " ".join([*other[:20], *x, *other[20:40]])
