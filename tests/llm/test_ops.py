@@ -215,6 +215,18 @@ def test_repeated_passages(docs, rows):
     assert (4, 30, 90) in spans and (5, 70, 130) in spans
 
 
+@pytest.mark.parametrize("lines, size", [(3, 20), (2, 30)])
+def test_passages_of_frequent_lines(spark, lines, size):
+    data, pairs = [], []
+    for g in range(12):
+        line = [words(size, 10000 * lines + 100 * g + k) for k in range(lines)]
+        data += [(len(data) + i, f"{words(30, 7000 + 100 * g + 20 * k + i)} {x} {words(30, 8000 + 100 * g + 20 * k + i)}") for k, x in enumerate(line) for i in range(20)]
+        pairs += [len(data), len(data) + 1]
+        data += [(len(data) + i, f"{words(30, 5000 + 2 * g + i)} {' '.join(line)} {words(30, 6000 + 2 * g + i)}") for i in range(2)]
+    out = passages.repeated_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["start"], r["end"]) for r in out) == [(i, 30, 90) for i in pairs]
+
+
 def test_passages_of_all_partners(spark):
     data = []
     for g in range(30):
