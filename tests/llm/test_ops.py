@@ -423,9 +423,59 @@ def test_token_ids(docs, rows):
     order = sorted(out, key=lambda r: r["start"])
     assert [r["doc_id"] for r in order] == sorted((r[0] for r in rows), key=lambda x: (x is None, x))
     assert [r["start"] for r in order] == np.cumsum([0] + [r["n_tokens"] for r in order])[:-1].tolist()
-    assert tokenids.lookup(docs.sparkSession, manifest, 12).tolist() == ids(rows[12][1])
-    assert tokenids.lookup(docs.sparkSession, manifest, 3, 1).tolist() == ids(rows[3][1])
-    assert tokenids.lookup(docs.sparkSession, manifest, 777) is None
+    assert tokenids.lookup(manifest, 12).tolist() == ids(rows[12][1])
+    assert tokenids.lookup(manifest, 3, 1).tolist() == ids(rows[3][1])
+    assert tokenids.lookup(manifest, 777) is None and tokenids.lookup(manifest, 3, 2) is None
+    assert sorted(len(tokenids.lookup(manifest, None, i)) for i in range(2)) == sorted(len(ids(r[1])) for r in rows if r[0] is None)
+
+
+def test_token_ids_of_repeated_and_extreme_ids(spark):
+    least = -(2**63)
+    data = [(least, "low"), (None, "none"), (None, "nothing"), (None, "none")] + [(7, f"same id {i}") for i in range(40)] + [(8, "equal rows") for _ in range(40)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        manifest = tokenids.write_shards(docs, tokenids.tokenizer_path()).cache()
+        assert manifest.count() > 4 and manifest.where("skip > 0").count() > 0
+        encode = tokenids.encoder(tokenids.tokenizer_path())._whole
+        want = lambda key: sorted([*encode(t).tolist(), 2] for k, t in data if k == key)
+        got = lambda key, n: sorted(tokenids.lookup(manifest, key, i).tolist() for i in range(n))
+        assert got(least, 1) == want(least) and got(None, 3) == want(None) and got(7, 40) == want(7) and got(8, 40) == want(8)
+        assert all(tokenids.lookup(manifest, k, n) is None for k, n in ((least, 1), (None, 3), (7, 40), (8, 40), (9, 0)))
+        out = tokenids.read_shards(manifest).collect()
+        assert collections.Counter(r["doc_id"] for r in out) == collections.Counter(k for k, _ in data)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_lookup_reads_a_bounded_number_of_bytes(spark, tmp_path):
+    docs = spark.range(5000).selectExpr("id as doc_id", "concat('text number ', id) as text").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        (row,) = tokenids.write_shards(docs, tokenids.tokenizer_path()).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    shard, read = tokenids.Shard(row["path"]), []
+
+    class Files:
+        def open_input_file(self, path):
+            file, read_ = shard_files.open_input_file(path), read
+
+            class File:
+                __enter__ = lambda self: self
+                __exit__ = lambda self, *a: file.close()
+                seek = lambda self, n: file.seek(n)
+
+                def read(self, n):
+                    read_.append(n)
+                    return file.read(n)
+
+            return File()
+
+    shard_files, shard.files = shard.files, Files()
+    assert shard.n == 5000 and shard.width == 2
+    ids = shard.ids(4321)
+    assert len(ids) > 3 and sum(read) == 4 + 16 + 2 * len(ids)
 
 
 def test_perfect_hash():
@@ -433,6 +483,11 @@ def test_perfect_hash():
     for n in (1, 2, 5, len(h)):
         _, slots = tokenids.perfect_hash(h[:n])
         assert sorted(slots.tolist()) == list(range(n))
+    assert tokenids.perfect_hash(np.array([5, 5], np.uint64)) is None
+    none = np.zeros(2, bool)
+    with pytest.raises(ValueError):
+        tokenids.index_bytes(np.array([1, 1]), np.array([0, 0]), none, np.array([0, 1]), np.array([1, 1]))
+    assert tokenids.index_bytes(np.array([-(2**63), 0]), np.array([0, 0]), np.array([False, True]), np.array([0, 1]), np.array([1, 1]))
 
 
 def test_empty_tables(none, spark):
