@@ -255,12 +255,54 @@ def test_passages_join_over_long_edits():
 def test_decontamination(docs, spark):
     item = words(60, 2).split()
     edited = [w if i % 7 else "other" for i, w in enumerate(item[10:55])]
-    bench = spark.createDataFrame([(1, " ".join(item[10:55])), (2, " ".join(edited)), (3, None), (4, "not there at all in any text"), (5, "")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item[10:55])), (2, " ".join(edited)), (3, None), (4, "not there at all in any text"), (5, ""), (None, " ".join(item[20:40]))], "item_id long, text string")
     out = decontamination.contaminated(docs, bench).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in out} == {(4, 1), (5, 1), (4, 2), (5, 2)}
+    assert {(r["doc_id"], r["item_id"]) for r in out} == {(4, 1), (5, 1), (4, 2), (5, 2), (4, None), (5, None)}
     assert all(r["score"] == 1.0 for r in out if r["item_id"] == 1)
+    for bits in (3, 7, 16):
+        assert got(decontamination.contaminated(docs, bench, bits=bits)) == got(decontamination.contaminated(docs, bench))
+    assert got(decontamination.contaminated(docs.repartition(7), bench.repartition(5))) == sorted(map(tuple, out), key=lambda r: str([(x is None, x) for x in r]))
     kept = decontamination.clean(docs, bench)
     assert kept.columns == docs.columns and kept.count() == docs.count() - 2
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()} - {4, 5}
+
+
+def test_decontamination_against_brute_force(spark):
+    rng, vocabulary = random.Random(12), words(300, 77).split()
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = {i: text(rng.randint(12, 40)) for i in range(25)}
+    data, planted = [], set()
+    for d in range(300):
+        body = text(rng.randint(20, 120))
+        if d % 3 == 0:
+            k = rng.randrange(25)
+            copy, kind = list(items[k]), (d // 3) % 5
+            if kind == 1:  # every third word replaced: no trigram is left
+                copy = [w if i % 3 != 2 else "zz" for i, w in enumerate(copy)]
+            elif kind == 2:
+                copy = [w for i, w in enumerate(copy) if i % 5]
+            elif kind == 3:
+                copy = [x for i, w in enumerate(copy) for x in ([w, "qq"] if i % 4 == 0 else [w])]
+            elif kind == 4:
+                copy = copy[: len(copy) * 2 // 3]
+            at = rng.randrange(len(body))
+            body = body[:at] + copy + body[at:]
+        data.append((d, " ".join(body)))
+        for k, item in items.items():
+            codes = {x: c for c, x in enumerate(dict.fromkeys(item))}
+            score, _, _ = decontamination.align(np.array([codes[x] for x in item]), np.array([codes.get(x, -1) for x in body]))
+            if score >= 0.5 * 2 * len(item):
+                planted.add((d, k))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, bench).collect()}
+    assert len(planted) > 70 and found <= planted and len(found) >= 0.95 * len(planted)
+
+
+def test_common_short_items_condemn_nothing(spark):
+    docs = spark.createDataFrame([(i, f"yes {words(20, 300 + i)}") for i in range(40)] + [(90, "so it is zebra crossing here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "yes"), (2, "Zebra-crossing!"), (3, "no")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, bench).collect()} == {(90, 2)}
 
 
 def test_alignment_against_plain_table():
