@@ -252,6 +252,44 @@ def test_passages_join_over_long_edits():
     passages.shared_passages("a b c " * 6000, "a b c " * 7000, [(0, 0), (3, 0)])
 
 
+def test_passages_find_planted_edits(spark):
+    rng = random.Random(5)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n)]
+
+    def edited(w, n):
+        return ["edit" if i in {(x + 1) * len(w) // (n + 1) for x in range(n)} else x for i, x in enumerate(w)]
+
+    makers = {
+        "verbatim": (50, lambda w: w), "one edit": (60, lambda w: edited(w, 1)), "two edits": (120, lambda w: edited(w, 2)), "four edits": (150, lambda w: edited(w, 4)),
+        "insertion": (90, lambda w: w[:45] + some(6) + w[45:]), "replaced": (100, lambda w: w[:48] + some(5) + w[53:]), "deleted": (60, lambda w: w[:20] + w[21:]),
+        "no": (49, lambda w: w), "too many edits": (60, lambda w: edited(w, 4)),
+    }
+    data, kind = [], {}
+    for k, (n, change) in makers.items():
+        for _ in range(40):
+            w = some(n)
+            for x in (w, change(w)):
+                kind[len(data)] = k
+                data.append((len(data), " ".join(some(rng.randint(0, 100)) + x + some(rng.randint(0, 100)))))
+    found = {r["doc_id"] for r in passages.repeated_passages(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()}
+    share = {k: sum(kind[i] == k for i in found) / 80 for k in makers}
+    assert share["verbatim"] == 1 and share["no"] == share["too many edits"] == 0
+    assert all(share[k] >= 0.95 for k in makers if k not in ("no", "too many edits")), share
+
+
+def test_frequent_buckets_are_linked_in_parts(spark):
+    passage, rng = words(60, 901), random.Random(9)
+    data = [(i, f"{words(rng.randint(1, 30), 9000 + i)} {passage} {words(20, 19000 + i)}") for i in range(400)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    parts = passages.windows(docs, often=20)
+    assert parts.where("part <> 0").count() > 300
+    assert parts.where("part = 0").groupBy("bucket").count().agg(F.max("count")).first()[0] <= 2 * 20 * 4
+    found = passages.repeated_passages(docs)
+    assert {r["doc_id"] for r in found.collect()} == set(range(400))
+    plan = found.sparkSession.createDataFrame([(1, "a")], "doc_id long, text string")
+    assert passages.repeated_passages(plan).count() == 0
+
+
 def test_decontamination(docs, spark):
     item = words(60, 2).split()
     edited = [w if i % 7 else "other" for i, w in enumerate(item[10:55])]
