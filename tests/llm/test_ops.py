@@ -483,6 +483,96 @@ def test_html_drops_what_all_pages_share_at_any_length(spark):
     assert len(out) == 20 and all(r["text"] == f"Words {r['page_id'] // 10000} {'here ' * 80}".strip() for r in out)
 
 
+def plain_article(source):
+    """The article of a well-formed page by a plain parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        blocks, inside, skipped = [""], 0, 0
+
+        def handle_starttag(self, tag, attrs):
+            self.skipped += tag in ("script", "style", "aside", "form", "nav")
+            self.inside += tag == "article"
+            if tag == "br":
+                self.blocks[-1] += " "
+            elif tag not in html.INLINE:
+                self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            self.skipped -= tag in ("script", "style", "aside", "form", "nav")
+            if tag == "article":
+                self.inside -= 1
+            if tag not in html.INLINE:
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.inside and not self.skipped:
+                self.blocks[-1] += data
+
+    r = Reader(convert_charrefs=True)
+    r.blocks = [""]
+    r.feed(source)
+    r.close()
+    return "\n\n".join(s for s in (" ".join(b.split()) for b in r.blocks) if s)
+
+
+def test_html_against_a_plain_parser(spark):
+    rng = random.Random(21)
+    some = lambda n: words(rng.randint(1, n), rng.random())
+    inner = (lambda: f"<p>{some(30)}<br>{some(9)}</p>", lambda: f"<p><b>{some(9)}</b> &amp; <a href=x>{some(3)}</a> &eacute;&#8364;</p>", lambda: f"<h2>{some(5)}</h2>", lambda: f"<ul><li>{some(5)}</li><li><a href=y>{some(5)}</a></li></ul>",
+             lambda: f"<blockquote>{some(9)}</blockquote>", lambda: f"<aside>{some(9)}</aside>", lambda: f"<script>var a = '<p>{some(3)}</p>';</script>", lambda: f"<table><tr><td>{some(3)}</td><td>{some(3)}</td></tr></table>")
+    data = []
+    for i in range(150):
+        body = "".join(rng.choice(inner)() for _ in range(rng.randint(1, 12)))
+        page = f"<html><head><title>{some(5)}</title></head><body><nav><a href=/>{some(3)}</a></nav><div class=q{rng.randint(0, 9)}>{some(9)}</div><article><h1>{some(6)}</h1>{body}</article><div><p>{some(20)}</p></div><footer>{some(4)}</footer></body></html>"
+        data.append((i, f"http://h{i % 4}.example/{i}", page))
+    out = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert out == {i: plain_article(page) for i, _, page in data}
+
+
+def test_html_keeps_all_of_the_article(spark):
+    pages = [
+        "<article><h1><a href=x>Linked title</a></h1><p>Text</p></article>",
+        "<article><h1>T</h1><p class=search>How to search</p><section class=social><p>Social life</p></section></article>",
+        "<article><header><h1>Own title</h1></header><p>Text</p><div class=comments><p>reader</p></div><div class='ad-box'>Buy</div><footer>foot</footer></article><div id=comments><article><p>reader</p></article></div>",
+        "<main><p>Text</p><article class=comment>reader</article></main>",
+    ]
+    data = [(i, f"http://a{i}.example/", x) for i, x in enumerate(pages)] + [(10 + i, "http://e.example/", "<article><p>Same</p></article>") for i in range(3)]
+    out = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert [out[i] for i in range(4)] == ["Linked title\n\nText", "T\n\nHow to search\n\nSocial life", "Own title\n\nText", "Text"]
+    assert out[10] == out[11] == out[12] == "Same"
+
+
+def test_html_of_any_depth():
+    deep = "<div>" * 30000
+    assert html.main_text(f"{deep}<nav>menu</nav><article><p>one</p><div class=comments>reader</div></article>{'</div>' * 30000}") == "one"
+    assert html.main_text(f"{deep}<p>one</p><nav>menu</nav><p>two</p>" + "</span></x>" * 50000) == "one\n\ntwo"
+    assert html.as_wrapper(html.parse(deep + "<p>x"))[0] == ""
+    assert html.main_text("<p>" + "word " * 300000) == ("word " * 300000).strip()
+
+
+def test_wrappers_do_not_depend_on_the_order_of_pages(spark):
+    rng = random.Random(8)
+    data = []
+    for i in range(120):
+        kinds = rng.sample(["<h2>a</h2>", "<ul><li>x<li>y</ul>", f"<p>{i}</p>", "<div class=q><p>fixed</p></div>", "<table><tr><td>1<td>2</table>", "<h3>b</h3>"], rng.randint(2, 6))
+        data.append((i, f"http://h{i % 2}.example/", "<body>" + "".join(kinds) + "</body>"))
+    schema = "page_id long, url string, html string"
+    one = got(html.wrappers(spark.createDataFrame(data, schema).coalesce(1), per_part=7))
+    assert len(one) == 2
+    for _ in range(3):
+        rng.shuffle(data)
+        assert got(html.wrappers(spark.createDataFrame(data + data[:30], schema).repartition(5), per_part=7 * 150 / 120)) == one
+
+
+def test_html_drops_by_the_wrapper_alone(spark):
+    data = [(i, "http://w.example/", f"<div class=top><p>Contact us by letter</p></div><div class=mid><p>Story {i}</p></div><div class=low><a href=/{i}>More {i}</a></div>") for i in range(5)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    assert out == {i: f"Story {i}" for i in range(5)}
+    assert html.main_text(data[0][2]) == "Contact us by letter\n\nStory 0\n\nMore 0"
+
+
 def test_wrappers_align_pages():
     a, b, c = (html.as_wrapper(html.parse(s)) for s in ("<div><p>x</p><p>y</p></div><hr>", "<div><p>x</p></div><ul><li>1<li>2</ul><hr>", "<div><p>z</p><p>z</p><p>z</p></div><hr>"))
     w = html.merged(html.merged(a, b), c)

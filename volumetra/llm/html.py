@@ -3,15 +3,16 @@
 A page becomes a tree of block elements with text slots (inline markup is taken off, open elements are closed as browsers do). The wrapper of a
 host is a union-free regular expression over such trees: the streams of children of two elements are aligned; what both have is matched
 and merged, what one lacks becomes an optional group, neighbours of one kind a repeated group, and a text that differs
-becomes a slot. Aligning page after page changes the wrapper only at mismatches. Wrappers merge like pages, so each
-partition infers one for every host it sees and these are merged by host: all pages take part, and a host with a third of them sends a few wrappers, not its pages.
+becomes a slot. Aligning page after page changes the wrapper only at mismatches. Wrappers merge like pages. The different pages of a host are dealt into as many parts as
+their number asks for, by a hash of the page, and merged in the order of that hash, part after part, so the wrapper depends on the set of pages alone, and no task gets all pages of a large host.
 
-The wrapper's slots decide what is text: elements for menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments by their
-names go; so do slots outside articles that hold the same text on nearly all different pages of a host, and slots that are mostly links. What is left of
-the page's article (or main element, or body) are the blocks.
+The article is the page's article or main element. All of it stays but menus, sidebars, footers, forms, scripts, notices, adverts and reader comments, known by the element
+or by a name that says just that. In pages without one the wrapper decides: slots that hold the same text on nearly all
+different pages of a host are its template and go, and so do slots that are mostly links; elements with a telling name go too. What is left are the blocks.
 
 Defined results: null, empty or markup-only html gives an empty text; a page cut off in the middle gives what is there; pages without a host in their url share the wrapper of the empty host;
-repeated pages and null ids are pages like others, but copies of a page count once for its host's wrapper; an empty table gives no rows.
+repeated pages and null ids are pages like others, but copies of a page count once for its host's wrapper; pages of any length and depth are read whole (elements below the ``DEEPEST``-th level are never
+template); columns other than the three named are not read, so their names don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import json
+import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -34,15 +37,24 @@ INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i i
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe svg object xmp".split())
 DROP = set("script style head title meta link noscript template iframe svg object nav header footer aside form button select textarea input dialog menu".split())
+#: An article's own header holds its title.
+DROP_INSIDE = DROP - {"header"}
+ARTICLE = ("article", "main")
+WORDS = set("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SKIPPED = re.compile(
-    r"(?:^|[\s_-])(ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo|banner|sidebar|side|menu|nav(?:bar|igation)?|breadcrumbs?|header|footer|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|overlay"
-    r"|comments?|commentlist|respond|discussion|disqus|replies|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|pagination|pager|widget|toolbar|skip|hidden)(?:$|[\s_-])",
-    re.I,
-)
+_NAMED = r"(?:^|[\s_-])(?:%s)(?:$|[\s_-])"
+_COMMENTS = "comments?|commentlist|respond|disqus|replies"
+_STRICT = f"ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo|banner|sidebar|menu|nav(?:bar|igation)?|breadcrumbs?|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|{_COMMENTS}"
+#: Names of elements that go outside articles, inside them, and of articles and text elements (there the name must say it alone).
+SKIPPED = re.compile(_NAMED % f"{_STRICT}|side|header|footer|masthead|alert|overlay|discussion|share|sharing|social|related|recommended|signup|login|search|pagination|pager|widget|toolbar|skip|hidden", re.I)
+SKIPPED_INSIDE = re.compile(_NAMED % _STRICT, re.I)
+SKIPPED_ALONE = re.compile(rf"\s*(?:ads?|adverts?|advertisement|sponsored|cookies?|{_COMMENTS})\s*", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
 _NAMES = re.compile(r"\b(class|id|role|style|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-_DEEPEST = 200
+#: Levels of elements that take part in wrappers.
+DEEPEST = 200
+#: Different pages that are merged in one row after another.
+PER_PART = 2000
 
 
 class Node:
@@ -54,20 +66,27 @@ class Node:
         self.name, self.label, self.skip, self.items = name, label, skip, []
 
 
-def _label(name: str, attributes: str) -> tuple[str, bool]:
-    if name in ("html", "body", "article", "main", "p") and "=" not in attributes:
-        return name, False
+def _label(name: str, attributes: str, inside: bool) -> tuple[str, bool]:
+    """Label of an element, and whether it goes. ``inside``: within an article."""
+    if "=" not in attributes and "hidden" not in attributes.lower():
+        return name, name in (DROP_INSIDE if inside else DROP)
     found = {k.lower(): (v or "").strip("\"'") for k, v in _NAMES.findall(attributes)}
-    names = " ".join(x for x in (found.get("class", ""), found.get("id", ""), found.get("role", "")) if x)
-    hidden = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
-    skip = name in DROP or (name not in ("html", "body", "article", "main") and bool(SKIPPED.search(names))) or hidden
+    names = [x for x in (found.get("class", ""), found.get("id", ""), found.get("role", "")) if x]
+    skip = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
+    if name in ("html", "body", "main"):
+        pass
+    elif name == "article" or inside and name in WORDS:
+        skip = skip or any(SKIPPED_ALONE.fullmatch(x) for x in names)
+    else:
+        skip = skip or name in (DROP_INSIDE if inside else DROP) or any((SKIPPED_INSIDE if inside else SKIPPED).search(x) for x in names)
     return name + "".join("." + re.sub(r"\d+", "", x) for x in found.get("class", "").split()[:3]), skip
 
 
 def parse(source: str | None) -> Node:
     """The tree of block elements. Unknown or stray end tags are passed over; a tag cut off at the end of the page is dropped."""
     root = Node("", "", False)
-    stack, at, links = [root], 0, 0
+    stack, at, links, inside = [root], 0, 0, 0
+    count: dict[str, int] = defaultdict(int)  # open elements by name
     source = source or ""
 
     def text(s: str) -> None:
@@ -76,10 +95,17 @@ def parse(source: str | None) -> Node:
             s = entities.unescape(s)
             n = len(s.strip()) if links else 0
             if items and type(items[-1]) is list:
-                items[-1][0] += s
+                items[-1][0].append(s)
                 items[-1][1] += n
             else:
-                items.append([s, n])
+                items.append([[s], n])
+
+    def close() -> str:
+        nonlocal inside
+        name = stack.pop().name
+        count[name] -= 1
+        inside -= name in ARTICLE
+        return name
 
     for m in _TOKEN.finditer(source):
         if m.start() < at:
@@ -97,26 +123,27 @@ def parse(source: str | None) -> Node:
             continue
         links = 0
         if end:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
+            if count[name]:
+                while close() != name:
+                    pass
             continue
         if name in CLOSES:
             while stack[-1].name in CLOSES[name]:
-                stack.pop()
+                close()
         if stack[-1].name == "p":
-            stack.pop()
-        label, skip = _label(name, m[3])
+            close()
+        label, skip = _label(name, m[3], inside > 0)
         node = Node(name, label, skip)
         stack[-1].items.append(node)
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-            at = close.end() if close else len(source)
-        elif name not in VOID and not m[3].endswith("/") and len(stack) < _DEEPEST:
+            closing = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+            at = closing.end() if closing else len(source)
+        elif name not in VOID and not m[3].endswith("/"):
             stack.append(node)
+            count[name] += 1
+            inside += name in ARTICLE
     rest = source[at:]
-    cut = re.search(r"<[a-zA-Z/!][^>]*\Z", rest)
+    cut = re.search(r"<[a-zA-Z/!][^<>]*\Z", rest)
     text(rest[: cut.start()] if cut else rest)
     return root
 
@@ -129,15 +156,15 @@ def _same(text: str) -> str:
     return text if len(text) <= 32 else "\n" + hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def as_wrapper(node: Node) -> list:
+def as_wrapper(node: Node, depth: int = 0) -> list:
     items: list = []
     for x in node.items:
         if type(x) is list:
-            s = " ".join(x[0].split())
+            s = " ".join("".join(x[0]).split())
             if s:
                 items.append([None, _same(s), len(s), x[1], 1])
-        else:
-            items.append(as_wrapper(x) if not x.skip else [x.label, 0, 0, 1, []])
+        elif depth < DEEPEST:
+            items.append(as_wrapper(x, depth + 1) if not x.skip else [x.label, 0, 0, 1, []])
     return [node.label, 0, 0, 1, _folded(items)]
 
 
@@ -183,16 +210,17 @@ def expression(w: list) -> str:
     return f"({body}){'*' if w[1] and w[2] else '+' if w[1] else '?'}" if w[1] or w[2] else body
 
 
-def fixed_slots(w: list, path: str = "", least: int = 3, pages: int | None = None, inside: bool = False) -> list[str]:
-    """Paths of the slots that aren't content: mostly links, or outside articles one text on nine in ten of the wrapper's pages and ``least`` at least."""
+def fixed_slots(w: list, path: str = "", least: int = 3, pages: int | None = None) -> list[str]:
+    """Paths of the slots outside articles that aren't content: mostly links, or one text on nine in ten of the wrapper's pages and ``least`` at least."""
+    if w[0].split(".")[0] in ARTICLE:
+        return []
     out = []
     here = f"{path}/{w[0]}"
     pages = w[3] if pages is None else pages
-    inside = inside or w[0].split(".")[0] in ("article", "main")
     for x in w[4]:
         if x[0] is not None:
-            out += fixed_slots(x, here, least, pages, inside)
-        elif (not inside and x[1] is not None and x[4] >= least and 10 * x[4] >= 9 * pages) or 2 * x[3] > x[2]:
+            out += fixed_slots(x, here, least, pages)
+        elif (x[1] is not None and x[4] >= least and 10 * x[4] >= 9 * pages) or 2 * x[3] > x[2]:
             out.append(here)
     slots: dict[str, bool] = {}
     for x in w[4]:
@@ -201,83 +229,81 @@ def fixed_slots(w: list, path: str = "", least: int = 3, pages: int | None = Non
     return [p for p in dict.fromkeys(out) if slots.get(p, True)]
 
 
-def _articles(node: Node) -> list[Node]:
-    """The outermost article or main elements that aren't skipped."""
-    out = []
-    for x in node.items:
-        if type(x) is Node and not x.skip:
-            out += [x] if x.name in ("article", "main") else _articles(x)
-    return out
-
-
-def _blocks(node: Node, path: str, fixed: set) -> list[str]:
-    here = f"{path}/{node.label}"
-    out = []
-    for x in node.items:
-        if type(x) is Node:
-            if not x.skip:
-                out += _blocks(x, here, fixed)
-        elif here not in fixed:
-            s = " ".join(x[0].split())
-            if s:
-                out.append(s)
-    return out
-
-
-def _paths(root: Node, wanted: set, path: str = "") -> dict[int, str]:
-    here = f"{path}/{root.label}"
-    out = {}
-    for x in root.items:
-        if type(x) is Node:
-            if id(x) in wanted:
-                out[id(x)] = here
-            else:
-                out |= _paths(x, wanted, here)
-    return out
-
-
 def main_text(source: str | None, fixed: set = frozenset()) -> str:
+    """The blocks of a page's outermost articles, or of the whole page where it has none, but for the slots at the ``fixed`` paths."""
+    articles: list[str] = []
+    others: list[str] = []
     root = parse(source)
-    articles = _articles(root)
-    if not articles:
-        return "\n\n".join(_blocks(root, "", fixed))
-    paths = _paths(root, {id(x) for x in articles})
-    each = [_blocks(x, paths[id(x)], fixed) for x in articles]
-    return "\n\n".join(b for blocks in each for b in blocks)
+    # (items, path down to DEEPEST levels, whether inside an article)
+    stack, any_article = [(iter(root.items), f"/{root.label}", False)], False
+    while stack:
+        items, path, inside = stack[-1]
+        x = next(items, None)
+        if x is None:
+            stack.pop()
+        elif type(x) is list:
+            s = " ".join("".join(x[0]).split())
+            if s and inside:
+                articles.append(s)
+            elif s and path not in fixed:
+                others.append(s)
+        elif not x.skip:
+            article = x.name in ARTICLE
+            any_article = any_article or article
+            stack.append((iter(x.items), f"{path}/{x.label}" if path is not None and len(stack) <= DEEPEST else None, inside or article))
+    return "\n\n".join(articles if any_article else others)
 
 
 def _host(url: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame, url_col="url", html_col="html") -> DataFrame:
-    """(host, wrapper as json, fixed slots): first one wrapper a partition and host, then one a host. Equal pages of a host are taken once."""
+def _merged_in_order(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(host, part, at, wrapper) -> one wrapper for each host and part, merged in the order of ``at``; of equal ``at`` only the first counts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, last, w = None, None, None
+        for p in batches:
+            done = []
+            for host, part, at, x in zip(p["host"], p["part"], p["at"], p["wrapper"]):
+                if (host, part) != group:
+                    if w is not None:
+                        done.append((*group, json.dumps(w)))
+                    group, last, w = (host, part), None, None
+                if at != last:
+                    w = json.loads(x) if w is None else merged(w, json.loads(x))
+                    last = at
+            if done:
+                yield pd.DataFrame(done, columns=["host", "part", "wrapper"])
+        if w is not None:
+            yield pd.DataFrame([(*group, json.dumps(w))], columns=["host", "part", "wrapper"])
+
+    dealt = rows.repartition(*keys).sortWithinPartitions("host", "part", "at")
+    return dealt.select("host", "part", "at", "wrapper").mapInPandas(run, "host string, part long, wrapper string")
+
+
+def wrappers(pages: DataFrame, url_col="url", html_col="html", per_part: int = PER_PART) -> DataFrame:
+    """(host, wrapper as json, fixed slots). Equal pages of a host are taken once; about ``per_part`` different pages of all hosts make a part."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            p = p.drop_duplicates(["host", "at"])
+            yield pd.DataFrame({"host": p["host"], "at": p["at"], "wrapper": [json.dumps(as_wrapper(parse(x))) for x in p["html"]]})
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[str, list] = {}
+    def fixed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            for host, source in zip(p["host"], p["html"]):
-                w = as_wrapper(parse(source))
-                found[host] = merged(found[host], w) if host in found else w
-                if len(found) >= 5000:
-                    yield frame(found)
-                    found = {}
-        if found:
-            yield frame(found)
-
-    def frame(found: dict) -> pd.DataFrame:
-        return pd.DataFrame({"host": list(found), "wrapper": [json.dumps(w) for w in found.values()]}, columns=["host", "wrapper"])
-
-    def whole(p: pd.DataFrame) -> pd.DataFrame:
-        w = None
-        for x in map(json.loads, p["wrapper"]):
-            w = x if w is None else merged(w, x)
-        return pd.DataFrame({"host": [p["host"].iloc[0]], "wrapper": [json.dumps(w)], "fixed": [fixed_slots(w)]})
-
-    slim = pages.select(_host(url_col).alias("host"), F.col(html_col).alias("html"))
-    slim = slim.groupBy("host", F.xxhash64("html").alias("page")).agg(F.first("html").alias("html")).select("host", "html")
-    parts = slim.mapInPandas(partial, "host string, wrapper string")
-    return parts.groupBy("host").applyInPandas(whole, "host string, wrapper string, fixed array<string>")
+            yield pd.DataFrame({"host": p["host"], "wrapper": p["wrapper"], "fixed": [fixed_slots(json.loads(x)) for x in p["wrapper"]]})
+
+    slim = pages.select(_host(url_col).alias("host"), F.xxhash64(html_col).alias("at"), F.col(html_col).alias("html"))
+    bits = max(0, math.ceil(math.log2(max(1, slim.count()) / per_part)))
+    rows = slim.mapInPandas(each, "host string, at long, wrapper string")
+    rows = rows.withColumn("part", F.shiftrightunsigned("at", 64 - bits) if bits else F.lit(0).cast("long"))
+    merged_ = _merged_in_order(rows, ["host", "part"])
+    while bits:  # 256 parts to one
+        bits = max(0, bits - 8)
+        rows = merged_.withColumnRenamed("part", "at").withColumn("part", F.shiftrightunsigned("at", 8) if bits else F.lit(0).cast("long"))
+        merged_ = _merged_in_order(rows, ["host", "part"])
+    return merged_.select("host", "wrapper").mapInPandas(fixed, "host string, wrapper string, fixed array<string>")
 
 
 def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
