@@ -384,6 +384,77 @@ def test_pii(docs, rows):
     p = trees.probability(np.array([pii.features(*s) for s in spans]))
     passed = np.array([q >= cut[s[1]] for q, s in zip(p, spans)])
     assert np.array(labels)[passed].mean() > 0.97 and passed[np.array(labels) == 1].mean() > 0.8
+    assert all(0 < c < 1 and c != 0.5 for c in cut.values()) and len(set(cut.values())) == 4
+
+
+#: Written by hand: kind, text with the span in double angle brackets; without brackets nothing may be added.
+LABELLED = """
+email|please write to <<jane.roe [at] example [dot] org>> by Monday
+email|questions go to <<bob (at) mail.example.com>>, thanks
+email|reach me at work: <<kim_lee AT post DOT net>> any time
+email|my address is <<sam＠example.net>>
+email|<<anna {at} firma.de>> answers
+email|mail <<joe at example dot com>> today
+email|we met at noon. Then we left
+email|have a look at page. Next one
+email|she is good at chess . He is not
+email|sold at auction.house prices
+email|I was at home. Nobody called at dawn. Quiet
+ip|the server <<2001:db8:85a3:0:0:8a2e:370:7334>> is down
+ip|blocked host <<10[.]0[.]0[.]5>> again
+ip|seen from <<fe80::1ff:fe23:4567:890a>> at night
+ip|login from <<192 . 168 . 1 . 20>> failed
+ip|the train leaves at 12:30:45 today
+ip|mixed at a ratio of 1:2:3 by volume
+ip|chapters 3. 4. 5. 6 are missing
+ip|verse 10:12:14 reads
+card|visa <<4111.1111.1111.1111>> exp 12/30
+card|my card <<4111  1111  1111  1111>> was lost
+card|pay with <<5500/0000/0000/0004>> please
+card|<<4111_1111_1111_1111>> is a test number
+card|order 5927243074273351 has shipped
+card|ref 4111.1111.1111.1112 is wrong
+card|serial 9807915762804491 on the back
+card|the count was 4845 1681 1440 7328 in all
+phone|call <<(212) 736-5000>> after six
+phone|tel <<030/1234567>> or fax
+phone|phone <<0049 30 1234567>> in the morning
+phone|mobile <<0171 234 5678>> is off
+phone|ring <<212-736-5000>> now
+phone|between 1999-2004 it grew
+phone|on 2024-01-05 we moved
+phone|id 12345678 was closed
+phone|a total of 1.234.567 units
+phone|invoice 20240105 is due
+phone|it ran from 10 11 12 13 on
+"""
+
+
+def test_pii_on_hand_labelled_texts():
+    trees, cut = pii.model()
+    right, added, labelled = collections.Counter(), collections.Counter(), collections.Counter()
+    for line in LABELLED.strip().split("\n"):
+        kind, marked = line.split("|")
+        text = marked.replace("<<", "").replace(">>", "")
+        want = [(kind, marked.index("<<"), marked.index(">>") - 2)] if "<<" in marked else []
+        ((_, got_),) = pii.find([text], trees, cut)
+        labelled[kind] += len(want)
+        for span in got_:
+            added[span[0]] += 1
+            right[span[0]] += span in want
+    for kind in pii.KINDS:
+        assert right[kind] >= 0.75 * labelled[kind], (kind, right, labelled)
+        assert right[kind] >= 0.75 * added[kind], (kind, right, added)
+
+
+def test_pii_adds_no_card_that_fails_luhn():
+    trees, cut = pii.model()
+    rng = random.Random(4)
+    for i in range(400):
+        d = "".join(rng.choice("0123456789") for _ in range(rng.randint(13, 19)))
+        if not pii.luhn(d):
+            for text in (f"card {d} x", f"{words(4, i)} {d} {words(3, i)}", " ".join([d[:4], d[4:8], d[8:]])):
+                assert not any(k == "card" for _, added in pii.find([text], trees, cut) for k, _, _ in added), text
 
 
 def test_pii_proposes_an_address_whatever_else_the_text_holds():
