@@ -2,6 +2,7 @@
 
 import collections
 import html as entities
+import os
 import random
 import re
 import zlib
@@ -495,6 +496,40 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score(docs, known.where("toxic = 0")).collect()} == {0.0}
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
+def test_toxicity_of_held_out_documents_by_language():
+    import pandas as pd
+
+    both = pd.read_parquet("/root/testdata/sf0.1/documents.parquet").merge(pd.read_parquet("/root/testdata/sf0.1/labels.parquet"), on="doc_id").sort_values("doc_id")
+    held = both["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)
+    own = both[~held]
+    model = toxicity.fit(own["text"].tolist(), own["toxic"].tolist(), own["toxic"].mean())
+    rest = both[held].copy()
+    scorer = toxicity._Scorer(model)
+    rest["score"] = np.concatenate([model.score(scorer.margins(data, at)) for _, _, data, at in wh.pieces(pa.array(rest["text"].tolist()))])
+    for lang, x in rest.groupby("lang"):
+        toxic, clean, passed = x["score"][x["toxic"] == 1], x["score"][x["toxic"] == 0], x[x["score"] >= 0.3]
+        auc = ((toxic.to_numpy()[:, None] > clean.to_numpy()).mean() + (toxic.to_numpy()[:, None] >= clean.to_numpy()).mean()) / 2
+        assert auc > 0.92 and passed["toxic"].mean() > 0.75 and (toxic >= 0.3).mean() > 0.85, (lang, auc, passed["toxic"].mean(), (toxic >= 0.3).mean())
+
+
+def test_toxicity_with_repeated_ids_and_clashing_columns(spark):
+    rng = random.Random(14)
+    vocabulary = words(300, 30).split()
+    data = []
+    for i in range(400):
+        w = [rng.choice(vocabulary) for _ in range(12)] + (["scumbag"] if i % 4 == 0 else [])
+        data.append((i, " ".join(w), "t", "i", 0.5, "y"))
+    twice = [(i, f"another text {i}", "t", "i", 0.5, "y") for i in range(0, 400, 8)]
+    schema = "doc_id long, text string, __text string, __id string, __toxic double, `a.b` string"
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    one = spark.createDataFrame(data + twice, schema)
+    other = spark.createDataFrame(twice[::-1] + data[::-1], schema).repartition(5)
+    assert got(toxicity.score(one, labels)) == got(toxicity.score(other, labels))
+    kept = toxicity.reject(one, labels)
+    assert kept.columns == one.columns and {r["__toxic"] for r in kept.collect()} == {0.5} and kept.count() < 450
+
+
 def test_kernel_matches_its_definition():
     def kernel(a, b):
         def feats(w):
