@@ -179,7 +179,9 @@ def test_near_duplicates_against_brute_force(spark):
             for _ in range(rng.randint(0, 3)):
                 w[rng.randrange(len(w))] = "changed"
             texts.append(" ".join(w))
-    sets = [wh.shingle_set(t) for t in texts]
+    line = words(12, 500)  # repeated lines weigh as often as they occur
+    texts += [" ".join([line] * n) for n in (2, 3, 8, 9, 10, 20)]
+    sets = [wh.shingle_bag(t) for t in texts]
     boss = list(range(len(texts)))
     find = lambda i: i if boss[i] == i else find(boss[i])
     for i in range(len(texts)):
@@ -191,6 +193,26 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r["doc_id"]: r["class_id"] for r in out} == {i: find(i) for i in range(len(texts))}
 
 
+def test_production_signatures_are_weighted():
+    line, rest = words(12, 501), words(30, 502)
+    a, b = f"{' '.join([line] * 30)} {rest}", f"{line} {rest}"
+    signs = []
+    for _, _, data, at in wh.pieces(pa.array([a, b])):
+        shingle, owner, times = wh.counted(*wh.shingles(*wh.words(data, at)[:2])[:2])
+        assert times.max() >= 29
+        signs = neardup.darts(shingle, owner, 2, 3000, times)
+    x, y = wh.shingle_bag(a), wh.shingle_bag(b)
+    weighted = len(x & y) / len(x | y)
+    assert weighted < 0.15 and abs((signs[0] == signs[1]).mean() - weighted) < 0.03
+
+
+def test_keep_one_of_rows_that_differ_elsewhere(spark):
+    data = [(1, "same text of five words here", i, "k", "x") for i in range(6)] + [(2, "another one", 0, "k", "x"), (None, None, 1, None, None), (None, "", 2, None, None)]
+    schema = "doc_id long, text string, n int, key string, `__nd_key` string"
+    one = got(neardup.keep_one(spark.createDataFrame(data, schema)))
+    assert len(one) == 3 and one == got(neardup.keep_one(spark.createDataFrame(data[::-1], schema).repartition(4)))
+
+
 def test_compact_windows_against_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(50):

@@ -4,18 +4,19 @@ Each weighted element owns a region: the unit cells of its weight times an axis
 Poisson process that depends on element and cell alone; a dart knows its rank, its height in the cell
 and a coordinate of the signature. A set's signature keeps, for each coordinate, the dart of the lowest
 rank that lies within the set's regions. Two sets agree in a coordinate with the probability of their weighted Jaccard
-similarity. Only darts up to a rank that fills all coordinates with near certainty are thrown, so the work is
+similarity. The elements of a text are its shingles of five words, the weight of one is how often it occurs. Only darts up to a rank that fills all coordinates with near certainty are thrown, so the work is
 the number of elements plus ``k ln k`` darts, not their product; where a coordinate stays empty, the rank is doubled.
 
 Texts that are equal share one key and are compared once. Bands of the signature give buckets. Each
 bucket links its members to one leader, the member that meets most others over all bands: it lies near the middle of its group, so a bucket of m copies
-gives m - 1 pairs and nearly all links. Links are verified by the exact similarity of the word shingles. Members that hang apart from their bucket's main
+gives m - 1 pairs and nearly all links. Links are verified by the exact weighted similarity, that of the bags of shingles. Members that hang apart from their bucket's main
 component are then compared with members of other components, but only where a link is possible: of a set's shingles, only those that occur
 in two components or more can be shared across components, counted by groups of their hashes, and a pair whose smaller counts sum to less than the similarity asks for is never made.
 That bound is exact, so no candidate of the bands is lost. Components are found by label passing over tables, never on the driver.
 
 Defined results: a null text counts as empty; equal texts are one class, also empty ones; repeated rows and null ids stay rows of
-their class, whose id is its least id (null if it has none); an empty table gives no rows.
+their class, whose id is its least id (null if it has none); texts of any length are taken whole, one of fewer than five words is a single shingle; other columns are carried but not read, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -54,14 +55,11 @@ def darts(elements: np.ndarray, owners: np.ndarray, n: int, k: int, weights: np.
     out = np.zeros((n, k), U)
     if not len(elements):
         return out
-    if weights is None:
-        cells, height, own = elements, None, owners
-    else:
-        per = np.ceil(weights).astype(np.int64)
-        own = np.repeat(owners, per)
-        level = np.arange(len(own)) - np.repeat(np.cumsum(per) - per, per)
-        cells = wh.mix(np.repeat(elements, per) + level.astype(U) * U(0x9E3779B97F4A7C15))
-        height = np.repeat(weights, per) - level
+    weights = np.ones(len(elements)) if weights is None else weights
+    per = np.ceil(weights).astype(np.int64)
+    own, cells, height = np.repeat(owners, per), wh.cells(elements, per), None
+    if (per != weights).any():  # a dart above the weight misses; whole weights fill their cells
+        height = np.repeat(weights, per) - (np.arange(len(own)) - np.repeat(np.cumsum(per) - per, per))
     total = np.bincount(own, minlength=n).astype(np.float64)
     reach = k * (math.log(k) + 4.0) / np.maximum(total, 1)
     todo = total > 0
@@ -116,8 +114,8 @@ def signed(docs: DataFrame, id_col="doc_id", text_col="text", bands=BANDS, rows=
         for batch in batches:
             for i, j, data, at in wh.pieces(batch.column(2), rows=MOST_ROWS):
                 hashes, owners, _, _ = wh.words(data, at)
-                shingle, owner, _ = wh.shingles(hashes, owners)
-                signatures = darts(shingle, owner, j - i, bands * rows)
+                shingle, owner, times = wh.counted(*wh.shingles(hashes, owners)[:2])
+                signatures = darts(shingle, owner, j - i, bands * rows, times)
                 sizes = np.bincount(owner, minlength=j - i)
                 buckets = band_hashes(signatures, bands, rows)
                 lists = pa.ListArray.from_arrays(_offsets(sizes, bands), pa.array(buckets[sizes > 0].ravel()))
@@ -133,12 +131,12 @@ def _offsets(sizes: np.ndarray, bands: int) -> pa.Array:
 
 
 def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Exact similarity of the sets of word shingles."""
+    """Exact weighted similarity of the word shingles: what both bags hold over what either holds."""
     last: list = [None, None]
 
     def shingles(i: int, text: str) -> set:
         if last[i] is None or last[i][0] != text:
-            last[i] = (text, wh.shingle_set(text))
+            last[i] = (text, wh.shingle_bag(text))
         return last[i][1]
 
     out = []
@@ -173,19 +171,15 @@ def components(links: DataFrame, name: str = "cc") -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """(key, comp, text) -> (key, comp, shingles): the hashes of each text's distinct shingles. No shuffle."""
+    """(key, comp, text) -> (key, comp, shingles): the hashes of each text's shingles, repeated ones as cells of their own. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, at in wh.pieces(batch.column(2)):
                 hashes, owners, _, _ = wh.words(data, at)
-                shingle, owner, _ = wh.shingles(hashes, owners)
-                order = np.lexsort((shingle, owner))
-                shingle, owner = shingle[order], owner[order]
-                new = np.ones(len(owner), dtype=bool)
-                new[1:] = (shingle[1:] != shingle[:-1]) | (owner[1:] != owner[:-1])
-                ends = np.cumsum(np.bincount(owner[new], minlength=j - i))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(shingle[new].astype(np.int64)))
+                shingle, owner, times = wh.counted(*wh.shingles(hashes, owners)[:2])
+                ends = np.cumsum(np.bincount(owner, weights=times, minlength=j - i).astype(np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(wh.cells(shingle, times).astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], lists], names=["key", "comp", "shingles"])
 
     return texts.select("key", "comp", "text").mapInArrow(run, "key binary, comp binary, shingles array<bigint>")
@@ -257,9 +251,12 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", similarit
 
 
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each class, the one with the least id."""
+    """``docs`` with one document of each class, the one with the least id; of rows equal in id and text the one with the least hash of all columns."""
     _, by_key = classes(docs, id_col, text_col, similarity)
-    chosen = by_key.where("key = chosen").select(F.col("key").alias("__nd_key"), F.col("class_id").alias("__nd_id"), F.col("times").alias("__nd_times"))
-    kept = docs.withColumn("__nd_key", text_key(text_col)).join(chosen, "__nd_key").where(F.col("__nd_id").eqNullSafe(F.col(id_col)))
-    again = kept.where("__nd_times > 1").dropDuplicates(["__nd_key"])
-    return kept.where("__nd_times = 1").unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = by_key.where("key = chosen").select("key", F.col("class_id").alias("least"), "times")
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*columns)  # any names pass through
+    own = lambda name: columns[docs.columns.index(name)]
+    kept = plain.withColumn("key", text_key(own(text_col))).join(chosen, "key").where(F.col("least").eqNullSafe(F.col(own(id_col))))
+    again = kept.where("times > 1").groupBy("key").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row")).select("row.*")
+    return kept.where("times = 1").select(*columns).unionByName(again).toDF(*docs.columns)

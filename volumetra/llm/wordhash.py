@@ -100,10 +100,36 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, width: int = WIDTH) -> tuple[
     return mix(total[at]), rows[at], at
 
 
+def counted(elements: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(element, row, how often) of the distinct elements of each row, rows ascending."""
+    order = np.lexsort((elements, rows))
+    elements, rows = elements[order], rows[order]
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = (elements[1:] != elements[:-1]) | (rows[1:] != rows[:-1])
+    first = np.flatnonzero(new)
+    return elements[first], rows[first], np.diff(np.append(first, len(rows)))
+
+
+def cells(elements: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """A hash for each unit of weight: the first, second, ... occurrence of each element, one element after the other."""
+    level = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    return mix(np.repeat(elements, times) + level.astype(U) * U(0x9E3779B97F4A7C15))
+
+
 split_words = re.compile(r"[^\x20\x09-\x0D]+").findall
 
 
-def shingle_set(text: str | None, width: int = WIDTH) -> set:
-    """The exact shingles of one text, for verification."""
+def shingle_bag(text: str | None, width: int = WIDTH) -> set:
+    """The exact shingles of one text, for verification; the second, third, ... occurrence of one is an element of its own."""
     w = split_words(text or "")
-    return {tuple(w)} if 0 < len(w) < width else set(zip(*[w[i:] for i in range(width)]))
+    if 0 < len(w) < width:
+        return {tuple(w)}
+    every = list(zip(*[w[i:] for i in range(width)]))
+    out = set(every)
+    if len(out) < len(every):
+        times: dict[tuple, int] = {}
+        for x in every:
+            times[x] = n = times.get(x, 0) + 1
+            if n > 1:
+                out.add((x, n))
+    return out
