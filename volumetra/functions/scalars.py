@@ -20,9 +20,10 @@ def pearson(t: Column, p: Column) -> Column:
 
 
 def r2(t: Column, p: Column) -> Column:
-    """1 - SSres/SStot; on constant truth 1 if exact, else 0; null under two rows."""
-    residual, total = F.sum((t - p) * (t - p)), F.var_pop(t) * F.count(F.lit(1))
-    return F.when(F.count(F.lit(1)) < 2, None).when(total == 0, F.when(residual == 0, 1.0).otherwise(0.0)).otherwise(1 - safe_div(residual, total))
+    """1 - SSres/SStot; on constant truth 1 if exact, else 0; null under two rows. Rows without a truth don't count."""
+    n = F.count(t)
+    residual, total = F.sum((t - p) * (t - p)), F.var_pop(t) * n
+    return F.when(n < 2, None).when(total == 0, F.when(residual == 0, 1.0).otherwise(0.0)).otherwise(1 - safe_div(residual, total))
 
 
 def euclid(ax: Column, ay: Column, bx: Column, by: Column) -> Column:

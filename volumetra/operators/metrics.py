@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volumetra.functions.scalars import euclid, pearson, r2, strict_median
 
+VALUES = ("tx", "ty", "px", "py", "unc")
+
 
 def predict_by_mean(gaze: DataFrame, width: int = 5) -> DataFrame:
     """A stand-in predictor: the centred mean of ``width`` samples; its uncertainty is the distance of x from it."""
@@ -22,8 +26,14 @@ def complete_trs(p: DataFrame) -> DataFrame:
     return p.withColumn("__ok", (F.count("tx").over(w) == n) & (F.count("ty").over(w) == n)).where("__ok").drop("__ok")
 
 
-def by_tr(p: DataFrame) -> DataFrame:
-    return p.groupBy("participant", "tr").agg(*[strict_median(F.col(c)).alias(c) for c in ("tx", "ty", "px", "py", "unc")])
+def nonempty(p: DataFrame) -> DataFrame:
+    """Only participants with at least one complete TR."""
+    return p.join(complete_trs(p).select("participant").distinct(), "participant", "left_semi")
+
+
+def by_tr(p: DataFrame, functor: Callable[[Column], Column] = strict_median) -> DataFrame:
+    """One row a TR; ``functor`` makes one value of its samples."""
+    return p.groupBy("participant", "tr").agg(*[functor(F.col(c)).alias(c) for c in VALUES])
 
 
 def cut_uncertain(p: DataFrame, percent: float = 80) -> DataFrame:
@@ -32,25 +42,36 @@ def cut_uncertain(p: DataFrame, percent: float = 80) -> DataFrame:
     return p.withColumn("__cut", limit).where(F.col("unc") <= F.col("__cut")).drop("__cut")
 
 
-def scores(p: DataFrame) -> DataFrame:
+def _scores() -> list[Column]:
     t, q, u, v = F.col("tx"), F.col("px"), F.col("ty"), F.col("py")
     e = euclid(t, u, q, v)
-    s = p.groupBy("participant").agg(
+    return [
         pearson(t, q).alias("r_x"), pearson(u, v).alias("r_y"), r2(t, q).alias("r2_x"), r2(u, v).alias("r2_y"),
         F.avg(e).alias("e_mean"), F.median(e).alias("e_median"), F.stddev_pop(e).alias("e_std"),
+    ]
+
+
+def scorecard(p: DataFrame, percent: float = 80, functor: Callable[[Column], Column] = strict_median) -> DataFrame:
+    """Four rows a participant: all or refined, by sample or by TR; participants without a complete TR get nulls.
+
+    Each TR becomes one row with its samples and what ``functor`` makes of them, is taken apart into the rows of both granularities, and each row
+    is listed for both variants, without values where the variant leaves it out. All steps group by participant first, so whatever is dealt by participant
+    is dealt once.
+    """
+    n = F.count(F.lit(1))
+    sample = F.struct(F.lit("subtr").alias("granularity"), *VALUES)
+    per_tr = p.groupBy("participant", "tr").agg(
+        F.collect_list(sample).alias("samples"), *[functor(F.col(c)).alias(c) for c in VALUES], ((F.count("tx") == n) & (F.count("ty") == n)).alias("complete")
     )
-    return s.withColumns({"r_mean": (F.col("r_x") + F.col("r_y")) / 2, "r2_mean": (F.col("r2_x") + F.col("r2_y")) / 2})
-
-
-def scorecard(p: DataFrame, percent: float = 80) -> DataFrame:
-    """Four rows a participant: all or refined, by sample or by TR; participants without a complete TR get nulls."""
-    fine = complete_trs(p)
-    coarse = by_tr(fine)
-    parts = [("all", "subtr", fine), ("all", "tr", coarse), ("refined", "subtr", cut_uncertain(fine, percent)), ("refined", "tr", cut_uncertain(coarse, percent))]
-    out = None
-    for variant, granularity, rows in parts:
-        one = scores(rows).withColumns({"variant": F.lit(variant), "granularity": F.lit(granularity)})
-        out = one if out is None else out.unionByName(one)
-    kinds = F.explode(F.array(*[F.struct(F.lit(a).alias("variant"), F.lit(b).alias("granularity")) for a, b, _ in parts])).alias("k")
-    every = p.select("participant").distinct().select("participant", kinds).select("participant", "k.*")
-    return every.join(out, ["participant", "variant", "granularity"], "left")
+    coarse = F.struct(F.lit("tr").alias("granularity"), *VALUES)
+    nothing = lambda g: F.struct(F.lit(g).alias("granularity"), *[F.lit(None).cast("double").alias(c) for c in VALUES])
+    rows = F.when(F.col("complete"), F.concat("samples", F.array(coarse))).otherwise(F.array(nothing("subtr"), nothing("tr")))
+    rows = per_tr.select("participant", F.explode(rows).alias("r")).select("participant", "r.*")
+    cut = F.percentile("unc", F.lit(percent / 100)).over(Window.partitionBy("participant", "granularity"))
+    kept = F.col("unc") <= F.col("cut")
+    every = F.struct(F.lit("all").alias("variant"), *VALUES)
+    refined = F.struct(F.lit("refined").alias("variant"), *[F.when(kept, F.col(c)).alias(c) for c in VALUES])
+    both = rows.withColumn("cut", cut).select("participant", "granularity", F.explode(F.array(every, refined)).alias("v")).select("participant", "granularity", "v.*")
+    s = both.groupBy("participant", "variant", "granularity").agg(*_scores())
+    means = {"r_mean": (F.col("r_x") + F.col("r_y")) / 2, "r2_mean": (F.col("r2_x") + F.col("r2_y")) / 2}
+    return s.withColumns(means).select("participant", "variant", "granularity", "r_x", "r_y", "r_mean", "r2_x", "r2_y", "r2_mean", "e_mean", "e_median", "e_std")

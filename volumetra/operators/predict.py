@@ -1,13 +1,17 @@
-"""Running a predictor over packed volumes in Arrow batches; any object with ``outputs`` and ``predict`` will do."""
+"""Running and fitting predictors over packed volumes; any object with ``outputs`` and ``predict`` will do."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from volumetra.operators import metrics
 
 
 class Predictor(Protocol):
@@ -17,24 +21,87 @@ class Predictor(Protocol):
 
 
 class LinearReadout:
-    """A fixed linear readout, a stand-in where no trained model is given."""
+    """One weighted sum of the voxels an output, a stand-in where no deep model is given; its weights may be fitted, saved and loaded."""
+
+    def __init__(self, weights: np.ndarray, bias: np.ndarray | None = None):
+        self.weights = np.asarray(weights, float)
+        self.outputs = self.weights.shape[1]
+        self.bias = np.zeros(self.outputs) if bias is None else np.asarray(bias, float)
 
-    def __init__(self, voxels: int, outputs: int, seed: int = 0):
-        self.outputs, self.weights = outputs, np.random.default_rng(seed).normal(size=(voxels, outputs)) / voxels**0.5
+    @classmethod
+    def fixed(cls, voxels: int, outputs: int) -> LinearReadout:
+        """Weights from -0.5 to 0.5 by arithmetic that any engine can replay."""
+        v, o = np.arange(voxels)[:, None], np.arange(outputs)[None, :]
+        return cls((((v * 7 + o * 3) % 11) - 5) / 10)
 
     def predict(self, volumes: np.ndarray) -> np.ndarray:
-        return volumes @ self.weights
+        return volumes @ self.weights + self.bias
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        spark.createDataFrame([(json.dumps({"weights": self.weights.tolist(), "bias": self.bias.tolist()}),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LinearReadout:
+        return cls(**{k: np.array(v) for k, v in json.loads(spark.read.text(path).first()[0]).items()})
 
 
-def run(volumes: DataFrame, model: Predictor, batch: int = 1024) -> DataFrame:
-    """(tr, voxels) -> (tr, p0, p1, ...). Missing voxels count as 0."""
-    sent = volumes.sparkSession.sparkContext.broadcast(model)
+def run(volumes: DataFrame, model: Predictor, batch: int = 1024, keys: tuple[str, ...] = ("tr",)) -> DataFrame:
+    """(keys, voxels) -> (keys, p0, p1, ...). Missing voxels count as 0."""
+    sent = volumes.sparkSession.sparkContext.broadcast(model)  # a model's size, whatever the number of volumes
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             for i in range(0, len(p), batch):
                 part = p.iloc[i : i + batch]
-                out = sent.value.predict(np.nan_to_num(np.stack(part["voxels"].to_numpy())))
-                yield pd.DataFrame({"tr": part["tr"].to_numpy(), **{f"p{k}": out[:, k] for k in range(sent.value.outputs)}})
+                out = sent.value.predict(np.nan_to_num(np.stack(part["voxels"].to_numpy()).astype(float)))
+                yield pd.DataFrame({**{k: part[k].to_numpy() for k in keys}, **{f"p{k}": out[:, k] for k in range(sent.value.outputs)}})
+
+    kinds = {f.name: f.dataType.simpleString() for f in volumes.schema}
+    schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"p{k} double" for k in range(model.outputs)])
+    return volumes.select(*keys, "voxels").mapInPandas(predict, schema)
+
+
+def fit(rows: DataFrame, voxels: int, outputs: int, ridge: float = 1.0) -> LinearReadout:
+    """Ridge regression of ``target`` (array) on ``voxels`` (array): each batch gives its sums of products, which are added up, so what reaches the driver
+    has the size of the model's square, not of the data. Rows with a missing target are left out."""
+    d = voxels + 1
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((d, d + outputs))
+        for p in batches:
+            if len(p):
+                x = np.hstack([np.nan_to_num(np.stack(p["voxels"].to_numpy()).astype(float)), np.ones((len(p), 1))])
+                y = np.stack(p["target"].to_numpy()).astype(float)
+                good = np.isfinite(y).all(axis=1)
+                total += x[good].T @ np.hstack([x[good], y[good]])
+        yield pd.DataFrame({"at": np.arange(total.size), "s": total.ravel()})
+
+    added = rows.select("voxels", "target").mapInPandas(sums, "at long, s double").groupBy("at").agg(F.sum("s").alias("s")).toPandas()
+    total = np.zeros(d * (d + outputs))
+    total[added["at"]] = added["s"]
+    total = total.reshape(d, d + outputs)
+    pull = np.eye(d) * ridge
+    pull[-1, -1] = 1e-9  # the constant is free
+    w = np.linalg.solve(total[:, :d] + pull, total[:, d:])
+    return LinearReadout(w[:-1], w[-1])
+
+
+def samples(predicted: DataFrame, keys: tuple[str, ...], subs: int) -> DataFrame:
+    """(keys, sub, px, py, unc) from outputs p0 ... : x and y of each sub-sample in turn, then each one's uncertainty, of which the absolute value counts."""
+    one = lambda j: F.struct(F.lit(j).cast("long").alias("sub"), F.col(f"p{2 * j}").alias("px"), F.col(f"p{2 * j + 1}").alias("py"), F.abs(F.col(f"p{2 * subs + j}")).alias("unc"))
+    return predicted.select(*keys, F.explode(F.array(*[one(j) for j in range(subs)])).alias("s")).select(*keys, "s.*")
+
+
+def evaluate(volumes: DataFrame, truth: DataFrame, model: Predictor, subs: int = 10, percent: float = 80) -> tuple[DataFrame, DataFrame]:
+    """(predictions beside the truth, scorecard) of all participants in one job.
+
+    ``volumes``: participant, tr, voxels; ``truth``: participant, tr, sub, x, y. The model is run once a volume; samples without a counterpart go.
+    """
+    p = samples(run(volumes, model, keys=("participant", "tr")), ("participant", "tr"), subs)
+    both = p.join(truth.select("participant", "tr", "sub", F.col("x").alias("tx"), F.col("y").alias("ty")), ["participant", "tr", "sub"])
+    return both, metrics.scorecard(both, percent)
+
 
-    return volumes.mapInPandas(predict, "tr long, " + ", ".join(f"p{k} double" for k in range(model.outputs)))
+def write_evaluation(both: DataFrame, path: str) -> None:
+    """Truth and predictions as Parquet, by participant."""
+    both.repartition("participant").write.partitionBy("participant").parquet(path)

@@ -21,11 +21,39 @@ def anchored(g: DataFrame, flag: str, span: int, k: int) -> DataFrame:
     return a.join(g.select("participant", "rn", "x", "y"), ["participant", "rn"])
 
 
+def by_time(order: str = "rn"):
+    return Window.partitionBy("participant").orderBy(order)
+
+
+def run_numbers(g: DataFrame, flag: str) -> DataFrame:
+    """``g`` without its flagged rows, with ``run``: how many flagged rows came before."""
+    w = by_time().rowsBetween(Window.unboundedPreceding, 0)
+    return g.withColumn("is_flag", F.expr(flag)).withColumn("run", F.sum(F.col("is_flag").cast("long")).over(w)).where("not is_flag").drop("is_flag")
+
+
+def renumbered(g: DataFrame) -> DataFrame:
+    """``rn`` from 0 on within each participant."""
+    return g.withColumn("rn", (F.row_number().over(by_time()) - 1).cast("long"))
+
+
 def segments(g: DataFrame, flag: str) -> DataFrame:
     """Runs that a flagged row closes; empty runs vanish."""
-    w = Window.partitionBy("participant").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
-    s = g.withColumn("is_flag", F.expr(flag)).withColumn("run", F.sum(F.col("is_flag").cast("long")).over(w)).where("not is_flag")
-    return s.groupBy("participant", "run").agg(F.count(F.lit(1)).alias("n"), F.min("rn").alias("first"), F.max("rn").alias("last"))
+    return run_numbers(g, flag).groupBy("participant", "run").agg(F.count(F.lit(1)).alias("n"), F.min("rn").alias("first"), F.max("rn").alias("last"))
+
+
+def least_gap(g: DataFrame, flag: str) -> DataFrame:
+    """participant, least_gap, gaps: the least and the number of different distances between flagged rows."""
+    d = g.where(flag).withColumn("gap", F.col("rn") - F.lag("rn").over(by_time()))
+    return d.groupBy("participant").agg(F.min("gap").alias("least_gap"), F.countDistinct("gap").alias("gaps"))
+
+
+def require_spacing(g: DataFrame, flag: str, gap: int) -> DataFrame:
+    """``g``, but reading it fails if a participant's flagged rows are ever closer than ``gap``."""
+    d = g.withColumn("at", F.when(F.expr(flag), F.col("rn")))
+    last = F.last("at", ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, -1))
+    close = F.col("at").isNotNull() & (F.col("at") - last < gap)
+    failed = F.when(close, F.raise_error(F.concat(F.lit("flags closer than expected at row "), F.col("rn").cast("string")))).otherwise(F.lit(None))
+    return d.withColumn("failed", failed.cast("string")).where("failed is null").drop("at", "failed")
 
 
 def forward_fill(g: DataFrame) -> DataFrame:

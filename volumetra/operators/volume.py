@@ -1,27 +1,33 @@
-"""Voxel grids: normalisation over time and space, crops, shifts, pools and small kernels. Volumes in long form: tr, x, y, z, v."""
+"""Voxel grids in long form (tr, x, y, z, v): normalisation over time and space, masks, crops and reports. Shifts, turns and kernels are in ``packed``."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from volumetra.functions.scalars import clip, safe_div
+from volumetra.functions.scalars import clip, safe_div, whole_div
 
 
 def normalize(voxels: DataFrame, robust: bool = False, bound: float = 5.0, zero: float = 0.001) -> DataFrame:
-    """Per voxel over time, then per TR over space, clipped at ``bound`` deviations of the run; values near 0 are missing and end as 0."""
-    v = voxels.withColumn("n", F.when(F.abs("v") < zero, None).otherwise(F.col("v")))
-    time, space, run = Window.partitionBy("run", "vox"), Window.partitionBy("run", "tr"), Window.partitionBy("run")
+    """Per voxel over time, then per TR over space, clipped at ``bound`` deviations of the run; values near 0 or not finite are missing and end as 0.
+
+    The run's deviation is a sum over partial sums that is joined back, so no task gets a whole run.
+    """
+    finite = ~F.isnan("v") & (F.abs("v") != float("inf"))
+    v = voxels.withColumn("n", F.when(finite & (F.abs("v") >= zero), F.col("v")))
+    time, space = Window.partitionBy("run", "vox"), Window.partitionBy("run", "tr")
     if robust:
         v = v.withColumn("m", F.median("n").over(time)).withColumn("d", F.median(F.abs(F.col("n") - F.col("m"))).over(time))
         v = v.withColumn("n", safe_div(F.col("n") - F.col("m"), F.col("d")))
     else:
         v = v.withColumn("n", safe_div(F.col("n") - F.avg("n").over(time), F.stddev_pop("n").over(time)))
     v = v.withColumn("n", safe_div(F.col("n") - F.avg("n").over(space), F.stddev_pop("n").over(space)))
-    v = v.withColumn("n", clip(F.col("n"), bound * F.stddev_pop("n").over(run)))
-    return v.select("run", "tr", "vox", F.coalesce("n", F.lit(0.0)).alias("v"))
+    v = v.select("run", "tr", "vox", "n")
+    spread = v.groupBy("run").agg(F.stddev_pop("n").alias("spread"))
+    clipped = v.join(spread, "run").withColumn("n", clip(F.col("n"), bound * F.col("spread")))
+    return clipped.select("run", "tr", "vox", F.coalesce("n", F.lit(0.0)).alias("v"))
 
 
 def crop(g: DataFrame, x: tuple, y: tuple, z: tuple) -> DataFrame:
@@ -40,55 +46,46 @@ def fill_outside(g: DataFrame, mask: DataFrame, value: float = 0.0) -> DataFrame
     return g.join(m, ["x", "y", "z"], "left").withColumn("v", F.when(F.col("__in").isNull(), value).otherwise(F.col("v"))).drop("__in")
 
 
-def remap(g: DataFrame, size: int, x: Column, y: Column, z: Column, value: float = 0.0) -> DataFrame:
-    """Each target voxel (x, y, z of the grid) takes the source voxel that the expressions name, else ``value``."""
-    cube = F.explode(F.sequence(F.lit(0), F.lit(size**3 - 1))).alias("i")
-    target = g.select("tr").distinct().select("tr", cube).select("tr", F.expr(f"cast(i div {size * size} as bigint)").alias("x"), F.expr(f"cast((i div {size}) % {size} as bigint)").alias("y"), F.expr(f"cast(i % {size} as bigint)").alias("z"))
-    source = g.select("tr", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"), "v")
-    named = target.withColumns({"sx": x.cast("long"), "sy": y.cast("long"), "sz": z.cast("long")})
-    return named.join(source, ["tr", "sx", "sy", "sz"], "left").select("tr", "x", "y", "z", F.coalesce("v", F.lit(value)).alias("v"))
-
-
-def shift(g: DataFrame, size: int, dx: int, dy: int, dz: int) -> DataFrame:
-    return remap(g, size, F.col("x") - dx, F.col("y") - dy, F.col("z") - dz)
-
-
-def zoom(g: DataFrame, size: int, factor: float) -> DataFrame:
-    """Nearest neighbour about the centre, same shape; a factor under 1 leaves a border of 0."""
-    c = (size - 1) / 2
-    at = lambda a: F.floor((F.col(a) - c) / factor + c + 0.5)
-    return remap(g, size, at("x"), at("y"), at("z"))
-
-
-def rotate_quarter(g: DataFrame, size: int) -> DataFrame:
-    """A quarter turn in the plane of x and y."""
-    return remap(g, size, F.col("y"), F.lit(size - 1) - F.col("x"), F.col("z"))
-
-
-def pad(g: DataFrame, size: int, by: int) -> DataFrame:
-    return remap(g, size + 2 * by, F.col("x") - by, F.col("y") - by, F.col("z") - by)
-
-
-def upsample(g: DataFrame, by: int = 2) -> DataFrame:
-    steps = lambda: F.sequence(F.lit(0), F.lit(by - 1))
-    out = g
-    for c in "xyz":
-        out = out.withColumn("__k", F.explode(steps())).withColumn(c, F.col(c) * by + F.col("__k")).drop("__k")
-    return out
-
-
-def avg_pool(g: DataFrame, by: int = 2) -> DataFrame:
-    return g.groupBy("tr", *[F.expr(f"{c} div {by}").alias(c) for c in "xyz"]).agg(F.avg("v").alias("v"))
-
-
-def box_convolve(g: DataFrame, size: int, radius: int = 1) -> DataFrame:
-    """Sum over the neighbourhood, outside counts as 0: each voxel is sent to its neighbours and summed there."""
-    d = lambda: F.sequence(F.lit(-radius), F.lit(radius))
-    out = g
-    for c in "xyz":  # the kernel is separable: three small passes instead of one over all offsets
-        out = out.withColumn("__k", F.explode(d())).withColumn(c, F.col(c) + F.col("__k")).where(F.col(c).between(0, size - 1))
-        out = out.groupBy("tr", "x", "y", "z").agg(F.sum("v").alias("v"))
-    return out
+def edges(mask: DataFrame) -> DataFrame:
+    """One row about a mask (x, y, z): its bounding box, the midpoint of its x range, and the middle of the widest gap in x (the first of the widest), where the eyes part.
+
+    The gap is looked for among the distinct x of the mask, at most one row a plane of the grid.
+    """
+    box = mask.agg(*[f(c).alias(f"{c}_{n}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))]).withColumn("mid", F.expr("x_min + (x_max - x_min) div 2"))
+    planes = mask.select("x").distinct().agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    gaps = F.transform(F.slice("xs", F.lit(2), F.size("xs")), lambda x, i: F.struct((x - F.get("xs", i)).alias("gap"), (-x).alias("first"), whole_div(F.get("xs", i) + x, 2).alias("mid")))
+    return box.join(planes.select(F.array_max(gaps)["mid"].alias("gap_mid")))  # one row each
+
+
+def cut_eyes(g: DataFrame, mask: DataFrame, value: float = 0.0) -> DataFrame:
+    """The two eyes of a grid (tr, x, y, z, v): outside the mask ``value``, cropped to the mask's box, the half from its gap on first, then the half before it.
+
+    Boxes are half-open, as in ``crop``: the last plane of each axis goes. The mask and its edges are small tables, which the planner broadcasts.
+    """
+    e = edges(mask).select("x_min", "x_max", "y_min", "y_max", "z_min", "z_max", F.coalesce("gap_mid", "mid").alias("part"))
+    c = F.col
+    inside = (c("y") >= c("y_min")) & (c("y") < c("y_max")) & (c("z") >= c("z_min")) & (c("z") < c("z_max")) & (c("x") >= c("x_min")) & (c("x") < c("x_max"))
+    cut = fill_outside(g, mask, value).join(F.broadcast(e)).where(inside)  # one row
+    right = c("x") >= c("part")
+    return cut.select("tr", F.when(right, c("x") - c("part")).otherwise(c("x") - c("x_min") + c("x_max") - c("part")).alias("x"), (c("y") - c("y_min")).alias("y"), (c("z") - c("z_min")).alias("z"), "v")
+
+
+def voxel_report(g: DataFrame, at: tuple[int, int, int], bins: int = 75) -> DataFrame:
+    """(part, a, b, v): the data of a quality report: three slices through ``at`` of the mean volume, mean projections along each axis, the scaled time course and a histogram of positive values."""
+    cube = g.groupBy("x", "y", "z").agg(F.sum("v").alias("s"), F.count("v").alias("n"))
+    none = F.lit(None).cast("long")
+    parts = []
+    for axis, k in zip("xyz", at):
+        a, b = [c for c in "xyz" if c != axis]
+        parts.append(cube.where(F.col(axis) == k).select(F.lit(f"slice {axis}").alias("part"), F.col(a).alias("a"), F.col(b).alias("b"), safe_div(F.col("s"), F.col("n")).alias("v")))
+        parts.append(cube.groupBy(F.lit(f"mean {axis}").alias("part"), F.col(a).alias("a"), F.col(b).alias("b")).agg(safe_div(F.sum("s"), F.sum("n")).alias("v")))
+    course = minmax_course(g.withColumn("run", F.lit(0)))
+    parts.append(course.select(F.lit("course").alias("part"), F.col("tr").alias("a"), none.alias("b"), "v"))
+    positive = g.where("v > 0").select("v")
+    bounds = positive.agg(F.min("v").alias("lo"), ((F.max("v") - F.min("v")) / bins).alias("w"))  # one row
+    counted = positive.join(F.broadcast(bounds)).groupBy(F.least(F.floor(safe_div(F.col("v") - F.col("lo"), F.col("w"))), F.lit(bins - 1)).alias("a")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+    parts.append(counted.select(F.lit("histogram").alias("part"), "a", none.alias("b"), "v"))
+    return reduce(lambda x, y: x.unionByName(y), parts)
 
 
 def group_norm(voxels: DataFrame, per_group: int, eps: float = 1e-5) -> DataFrame:

@@ -32,3 +32,9 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tr, x, y, z, v: the volumes as 4 x 4 x 4 grids."""
     return voxels(spark, sf_dir).select("tr", F.expr("vox div 16").alias("x"), F.expr("(vox div 4) % 4").alias("y"), F.expr("vox % 4").alias("z"), "v")
+
+
+def packed_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run, tr, voxels: one row a volume, an array of 64 voxels as a 4 x 4 x 4 grid with z fastest."""
+    e = read(spark, sf_dir, "embeddings")
+    return e.select(F.col("label").cast("long").alias("run"), F.col("vec_id").alias("tr"), F.col("embedding").cast("array<double>").alias("voxels"))
