@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +18,12 @@ SPACE = r"[\x20\x09-\x0D]"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, one machine) a temporary folder is set.
+    Only where that setting is absent and all runs on one machine (a local master, as in tests) a temporary folder is set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="volumetra-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -29,15 +33,53 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/volumetra/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables written within each open ``scratch``, the innermost last.
+_open: list[dict[str, bool]] = []
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 
     This cuts the lineage: what follows survives the loss of executors without recomputing ``df``,
-    and the planner sees the written size, so it broadcasts only what it has measured to be small.
+    and the planner sees the written size, so it broadcasts only what it has measured to be small. The table stays
+    until the ``scratch`` around it ends.
     """
     path = new_path(df.sparkSession, name)
+    if _open:
+        _open[-1][path] = False
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the tables written within, but for those passed to the yielded function; these belong to the scratch around, if there is one.
+
+    What is read lazily after the end must be kept, or be written to a kept table before.
+    """
+    own: dict[str, bool] = {}
+    _open.append(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        own[df.table_path] = True
+        return df
+
+    try:
+        yield keep
+    finally:
+        _open.remove(own)
+        for path, kept in own.items():
+            if not kept:
+                delete(spark, path)
+            elif _open:
+                _open[-1][path] = False
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:

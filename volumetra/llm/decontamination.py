@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volumetra.llm import wordhash as wh
-from volumetra.llm.common import table, text_or_empty
+from volumetra.llm.common import scratch, table, text_or_empty
 
 U = np.uint64
 SEED, RARE, SHARE, FEW, LEAST = 3, 4.0, 0.001, 5, 0.5
@@ -188,11 +188,16 @@ def name(text_col: str):
 
 def matches(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="item_id", item_text="text", least: float = LEAST, bits: int | None = None) -> DataFrame:
     """Rows (name, item_id, score, start, end) of the texts, by their name, that hold a copy of a test item. ``bits``: size of the filters, which changes no row."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(_matches(docs, benchmark, text_col, item_col, item_text, least, bits))
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, least: float, bits: int | None) -> DataFrame:
     items, grams, widths = _items(benchmark, item_col, item_text)
     item_kind = items.schema["item_id"].dataType.simpleString()
     kind = f"name binary, item_id {item_kind}, score double, start int, end int"
     if not widths:
-        return docs.sparkSession.createDataFrame([], kind)
+        return table(docs.sparkSession.createDataFrame([], kind), "leak-matches")
     slim, spark = docs.select(text_or_empty(text_col).alias("text")), docs.sparkSession
     held = table(_counted(slim, Filter(grams.select("gram").distinct(), bits), widths), "leak-held")
     seeds = table(_seeds(grams, held, slim.count()), "leak-seeds")

@@ -12,7 +12,8 @@ its shuffle, so a source that holds a third of all rows costs no more than anoth
 
 Defined results: a null text has size 0; null is a source of its own, the last one; a null id or
 repeated rows share a hash and are taken together; an empty table gives no rows; columns other than the three
-named are not read; with no words at all every target is 0.
+named are not read; with no words at all every target is 0;
+a text without words is repeated ``most`` times at most, like any other; texts of any length are counted whole.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from volumetra.llm.common import table, word_count
+from volumetra.llm.common import scratch, table, word_count
 
 BITS, LEVELS = 12, 4
 WEIGHTS = (5, 2, 1)
@@ -91,9 +92,9 @@ def thresholds(slim: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     return table(whole.select("sk", "source_size", "target", "passes", F.coalesce("threshold", F.lit(-1)).alias("threshold"), F.coalesce("closed", F.lit(False)).alias("closed")), "mix-bounds")
 
 
-def _copies() -> Column:
+def _copies(most: int) -> Column:
     more = (F.col("h") < F.col("threshold")) | ((F.col("h") == F.col("threshold")) & F.col("closed"))
-    return F.col("passes") + more.cast("long")
+    return F.least(F.col("passes") + more.cast("long"), F.lit(most).cast("long"))
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
@@ -104,15 +105,18 @@ def _slim(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: st
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, most=MOST, seed="mix") -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies."""
     slim = table(_slim(docs, id_col, text_col, source_col, seed), "mix-slim")
-    taken = slim.join(thresholds(slim, weights, most), "sk").withColumn("copies", _copies())
+    with scratch(docs.sparkSession) as keep:
+        bounds = keep(thresholds(slim, weights, most))
+    taken = slim.join(bounds, "sk").withColumn("copies", _copies(most))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def take(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, most=MOST, seed="mix") -> DataFrame:
     """The mix itself: the rows of ``docs`` with all their columns, each as many times as it is taken."""
-    bounds = thresholds(table(_slim(docs, id_col, text_col, source_col, seed), "mix-slim"), weights, most)
+    with scratch(docs.sparkSession) as keep:
+        bounds = keep(thresholds(table(_slim(docs, id_col, text_col, source_col, seed), "mix-slim"), weights, most))
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     sized = docs.select(own, F.col(id_col).alias("doc_id"), _source_key(source_col).alias("sk"), word_count(text_col).alias("size"))
     sized = sized.withColumn("h", _hash("doc_id", F.col("sk"), F.col("size"), seed))
-    taken = sized.join(bounds, "sk").where(_copies() > 0).select(F.explode(F.array_repeat("row", _copies().cast("int"))).alias("row"))
+    taken = sized.join(bounds, "sk").where(_copies(most) > 0).select(F.explode(F.array_repeat("row", _copies(most).cast("int"))).alias("row"))
     return taken.select("row.*")

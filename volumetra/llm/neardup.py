@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from volumetra.llm import wordhash as wh
-from volumetra.llm.common import table, text_or_empty
+from volumetra.llm.common import scratch, table, text_or_empty
 
 U = np.uint64
 BANDS, ROWS = 28, 6
@@ -234,14 +234,18 @@ def connected(signs: DataFrame, docs: DataFrame, text_col="text", similarity: fl
 def classes(docs: DataFrame, id_col="doc_id", text_col="text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(signs, by key): the second has key, class_id, class_size, chosen (the key that stays) and times (rows with that key and id)."""
     signs = table(signed(docs, id_col, text_col), "nd-signs")
-    comps = connected(signs, docs, text_col, similarity)
+    with scratch(docs.sparkSession) as keep:
+        return signs, keep(_classes(signs, connected(signs, docs, text_col, similarity)))
+
+
+def _classes(signs: DataFrame, comps: DataFrame) -> DataFrame:
     ids = signs.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("times"))
     per_key = ids.groupBy("key").agg(F.sum("times").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "times")).alias("least"))
     named = table(per_key.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key")), "nd-named")
     least = F.min(F.struct(F.col("least.col1"), F.col("least.doc_id"), "key", F.col("least.times")))
     whole = named.groupBy("comp").agg(F.sum("n").alias("class_size"), least.alias("c"))
     whole = whole.select("comp", "class_size", F.col("c.doc_id").alias("class_id"), F.col("c.key").alias("chosen"), F.col("c.times").alias("times"))
-    return signs, table(named.select("key", "comp").join(whole, "comp").drop("comp"), "nd-classes")
+    return table(named.select("key", "comp").join(whole, "comp").drop("comp"), "nd-classes")
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", similarity: float = SIMILARITY) -> DataFrame:
