@@ -84,3 +84,67 @@ def test_short_series_repeat_samples(spark):
 def test_clip_keeps_null(spark):
     df = spark.createDataFrame([(None, 5.0), (7.0, 5.0), (-7.0, 5.0), (1.0, 5.0)], "v double, b double")
     assert [r[0] for r in df.select(scalars.clip(df["v"], df["b"])).collect()] == [None, 5.0, -5.0, 1.0]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+@pytest.mark.parametrize("name, exchanges", [("gaze_scorecard", 1), ("pad_grid", 0), ("shift_fill", 0), ("zoom_enlarge", 0), ("rotate_nearest", 0), ("conv_small", 0), ("residual_block", 0), ("augment_each", 0), ("group_norm", 0), ("ffill_trace", 1), ("within_subject_split", 1)])
+def test_exchanges_of_plans(spark, name, exchanges):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange ") == exchanges, plan
+
+
+def test_no_window_over_a_whole_run_or_all_participants(spark):
+    import re
+
+    v = spark.createDataFrame([(1, 1, 1, 1.0)], "run long, tr long, vox long, v double")
+    plan = volume.normalize(v)._jdf.queryExecution().executedPlan().toString()
+    assert not any(re.search(r"Window.*\[run#\d+L?\]$", line) for line in plan.splitlines())
+
+
+def test_folds_have_the_sizes_of_an_even_split(spark):
+    from volumetra.operators import splits
+
+    for n, k in ((23, 5), (5, 5), (3, 5), (100, 7)):
+        units = spark.range(n).withColumnRenamed("id", "u")
+        sizes = sorted(r["count"] for r in splits.folds(units, "u", k).where("part = 'test'").groupBy("fold").count().collect())
+        assert sizes == sorted(len(x) for x in np.array_split(np.arange(n), k) if len(x))
+
+
+def test_sides_of_a_split(spark):
+    from volumetra.operators import splits
+
+    units = spark.createDataFrame([(i, f"d{i % 3}") for i in range(30)], "u long, d string")
+    parts = splits.split(units, "leave_one_out", "u", "d")
+    train, test = splits.sides(units.withColumn("x", units["u"]), parts, "d1", "u")
+    assert {r["d"] for r in test.collect()} == {"d1"} and train.count() == 20
+    assert splits.subset(units, "d", ["d0"]).count() == splits.subset(units, "d", units.where("u = 0").select("d")).count() == 10
+    with pytest.raises(ValueError):
+        splits.split(units, "by moon", "u", "d")
+
+
+def test_spacing_that_is_too_close_fails(spark):
+    g = spark.createDataFrame([(1, i, i in (0, 5, 8)) for i in range(12)], "participant long, rn long, flag boolean")
+    assert series.require_spacing(g, "flag", 3).count() == 12
+    with pytest.raises(Exception, match="closer than expected"):
+        series.require_spacing(g, "flag", 4).collect()
+
+
+def test_labels_of_one_subject_and_names(spark):
+    from volumetra.operators import labels, splits
+
+    s = spark.createDataFrame([(1, 0, 0, 0, None, None, 2.0, 3.0), (12, 0, 0, 0, 1.0, 1.0, 2.0, 3.0)], "participant long, run long, tr long, rn long, rx double, ry double, tx double, ty double")
+    assert labels.subject(s, "12").count() == 1
+    rows = {r["participant"]: (r["x"], r["real"]) for r in labels.with_fallback(s).collect()}
+    assert rows == {1: (2.0, False), 12: (1.0, True)} and labels.with_fallback(s, use_real=False).where("real").count() == 0
+    paths = spark.createDataFrame([("/a/b/participant01.nii.gz",)], "path string")
+    assert splits.names(paths).first()["name"] == "ipant01"
+
+
+def test_options():
+    from volumetra.options import Options
+
+    assert Options.from_args(["--epochs", "3", "--share", "0.9"]) == Options(epochs=3, share=0.9)

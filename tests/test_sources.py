@@ -80,3 +80,60 @@ def test_participants_written_and_read(spark, tmp_path):
     rows = archives.read_participants(spark, str(tmp_path / "out"), 2, 9).orderBy("tr").collect()
     assert [r["tr"] for r in rows] == [2, 3, 4]
     assert [(s["sub"], s["x"], s["y"]) for s in rows[0]["labels"]] == [(0, -1.0, -2.0), (1, 0.0, 0.0), (2, 1.0, 2.0)]
+
+
+def test_masks_and_template(spark, tmp_path):
+    from volumetra.sources import masks
+
+    m = np.zeros((4, 3, 2, 1), dtype=np.float32)
+    m[0, 0, 0] = m[3, 2, 1] = 1
+    (tmp_path / "small.mask.nii.gz").write_bytes(gzip.compress(nifti.encode(m)))
+    (tmp_path / "big.nii").write_bytes(nifti.encode(np.ones((4, 3, 2, 1), dtype=np.float32)))
+    found = masks.scan_masks(spark, str(tmp_path))
+    voxels, edges = masks.mask(found, "small")
+    assert sorted(map(tuple, voxels.collect())) == [(0, 0, 0), (3, 2, 1)] and edges.first()["gap_mid"] == 1
+    assert masks.mask(found, "big")[0].count() == 24
+    assert masks.template(spark, str(tmp_path / "big.nii")).where("v = 1").count() == 24
+    listed = {r["path"].rsplit("/", 1)[1]: r["length"] for r in masks.list_files(spark, str(tmp_path), "*.nii").collect()}
+    assert listed == {"big.nii": (tmp_path / "big.nii").stat().st_size}
+
+
+def test_event_logs(spark, tmp_path):
+    from volumetra.sources import masks
+
+    lines = ["0 0 9 9"] + [f"{int(i % 6 == 0)} {i + 1} {i} {-i}" for i in range(12)] + ["0 0 9 9", "1 1 50 60"]
+    (tmp_path / "log.txt").write_text("\n".join(lines) + "\n")
+    rows = sorted(tuple(r)[1:] for r in masks.scan_log(spark, str(tmp_path / "log.txt"), span=6, k=4).collect())
+    first, second = [0, 2, 4, 6], [6, 7, 9, 11]
+    want = [(1, 0, j, float(v), float(-v)) for j, v in enumerate(first)] + [(1, 1, j, float(v), float(-v)) for j, v in enumerate(second)] + [(2, 0, j, 50.0, 60.0) for j in range(4)]
+    assert rows == want
+
+
+def test_csv_output(spark, tmp_path):
+    from volumetra.sources import masks
+
+    masks.write_csv(spark.createDataFrame([(1, 0.5), (2, None)], "tr long, x double"), str(tmp_path / "out"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "out"))
+    assert sorted(map(tuple, back.collect())) == [("1", "0.5"), ("2", None)]
+
+
+def test_streamed_summaries_equal_those_of_the_table(spark, tmp_path):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from volumetra import streaming
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("needs the test tables")
+    table = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    table.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = streaming.summaries(streaming.read_samples(spark, str(tmp_path / "in")))
+    query = streaming.write(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    assert query.awaitTermination(120)
+    x = F.when(F.col("event_type") != "error", F.col("value"))
+    want = table.groupBy(F.col("user_id").alias("participant"), F.window(F.col("ts").cast("timestamp"), "1 day")["start"].alias("start")).agg(F.count(F.lit(1)).alias("n"), F.count_if(x.isNull()).alias("missing"), F.avg(x).alias("mean"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    last = got.agg(F.max("start")).first()[0]
+    rows = lambda df: sorted((r["participant"], r["start"], r["n"], r["missing"], None if r["mean"] is None else round(r["mean"], 6)) for r in df.where(F.col("start") <= F.lit(last)).collect())
+    assert rows(got) == rows(want) and len(rows(got)) > 100

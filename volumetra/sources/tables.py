@@ -14,10 +14,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def gaze(spark: SparkSession, sf_dir: str) -> DataFrame:
     """participant, rn (from 0), tr, sub, x (null where the sample dropped out), y, event_type."""
-    e = read(spark, sf_dir, "events")
-    rn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    e = read(spark, sf_dir, "events").withColumnRenamed("user_id", "participant")  # first, so that what follows knows the rows are dealt by it
+    rn = F.row_number().over(Window.partitionBy("participant").orderBy("ts", "event_id")) - 1
     g = e.select(
-        F.col("user_id").alias("participant"), rn.cast("long").alias("rn"),
+        "participant", rn.cast("long").alias("rn"),
         F.when(F.col("event_type") != "error", F.col("value")).alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"), "event_type",
     )
     return g.withColumns({"tr": F.expr(f"rn div {PER_TR}"), "sub": F.expr(f"rn % {PER_TR}")})
