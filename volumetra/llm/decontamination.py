@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volumetra.llm import wordhash as wh
-from volumetra.llm.common import scratch, table, text_or_empty
+from volumetra.llm.common import lean, scratch, table, text_or_empty
 
 U = np.uint64
 SEED, RARE, SHARE, FEW, LEAST = 3, 4.0, 0.001, 5, 0.5
@@ -145,9 +145,9 @@ def _items(benchmark: DataFrame, item_col: str, item_text: str) -> tuple[DataFra
 
     kind = benchmark.schema[item_col].dataType.simpleString()
     own = benchmark.select(F.monotonically_increasing_id().alias("iid"), F.col(item_col).alias("item_id"), text_or_empty(item_text).alias("text"))
-    own = own.mapInArrow(words, f"iid long, item_id {kind}, words string").where("words <> ''").withColumn("n", F.size(F.split("words", " ")))
+    own = own.mapInArrow(lean(words), f"iid long, item_id {kind}, words string").where("words <> ''").withColumn("n", F.size(F.split("words", " ")))
     items = table(own, "leak-items")
-    grams_ = table(items.select("iid", "words", "n").mapInArrow(grams, "iid long, n int, gram long, width int, pos int"), "leak-grams")
+    grams_ = table(items.select("iid", "words", "n").mapInArrow(lean(grams), "iid long, n int, gram long, width int, pos int"), "leak-grams")
     widths = tuple(sorted(r[0] for r in grams_.select("width").distinct().collect()))  # three rows at most
     return items, grams_, widths
 
@@ -168,7 +168,7 @@ def _counted(docs: DataFrame, let: Filter, widths: tuple[int, ...]) -> DataFrame
                     if len(own):
                         yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(n)], names=["gram", "n"])
 
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("held"))
+    return docs.select("text").mapInArrow(lean(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("held"))
 
 
 def _seeds(grams: DataFrame, held: DataFrame, documents: int) -> DataFrame:
@@ -222,7 +222,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str
                     take = pa.array(i + own)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(take), text.take(take), *lists], names=["name", "words", "grams", "places"])
 
-    held_by = docs.select(name(text_col).alias("name"), text_or_empty(text_col).alias("text")).mapInArrow(run, "name binary, words string, grams array<long>, places array<int>")
+    held_by = docs.select(name(text_col).alias("name"), text_or_empty(text_col).alias("text")).mapInArrow(lean(run), "name binary, words string, grams array<long>, places array<int>")
     found = table(held_by.groupBy("name").agg(*[F.first(c).alias(c) for c in ("words", "grams", "places")]), "leak-found")
     spots = found.select("name", F.explode(F.arrays_zip("grams", "places")).alias("x")).select("name", F.col("x.grams").alias("gram"), F.col("x.places").alias("place"))
     spots = spots.join(seeds, "gram").groupBy("name", "iid").agg(F.collect_set(F.col("place") - F.col("pos")).alias("starts"))
@@ -244,7 +244,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return table(both.mapInArrow(check, kind), "leak-matches")
+    return table(both.mapInArrow(lean(check), kind), "leak-matches")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text="text", least: float = LEAST, bits: int | None = None) -> DataFrame:

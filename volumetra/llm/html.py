@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volumetra.llm.common import table
+from volumetra.llm.common import lean, table
 
 #: Names of HTML elements and words in class names.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -279,7 +279,7 @@ def _merged_in_order(rows: DataFrame, keys: list[str]) -> DataFrame:
             yield pd.DataFrame([(*group, json.dumps(w))], columns=["host", "part", "wrapper"])
 
     dealt = rows.repartition(*keys).sortWithinPartitions("host", "part", "at")
-    return dealt.select("host", "part", "at", "wrapper").mapInPandas(run, "host string, part long, wrapper string")
+    return dealt.select("host", "part", "at", "wrapper").mapInPandas(lean(run), "host string, part long, wrapper string")
 
 
 def wrappers(pages: DataFrame, url_col="url", html_col="html", per_part: int = PER_PART) -> DataFrame:
@@ -296,14 +296,14 @@ def wrappers(pages: DataFrame, url_col="url", html_col="html", per_part: int = P
 
     slim = pages.select(_host(url_col).alias("host"), F.xxhash64(html_col).alias("at"), F.col(html_col).alias("html"))
     bits = max(0, math.ceil(math.log2(max(1, slim.count()) / per_part)))
-    rows = slim.mapInPandas(each, "host string, at long, wrapper string")
+    rows = slim.mapInPandas(lean(each), "host string, at long, wrapper string")
     rows = rows.withColumn("part", F.shiftrightunsigned("at", 64 - bits) if bits else F.lit(0).cast("long"))
     merged_ = _merged_in_order(rows, ["host", "part"])
     while bits:  # 256 parts to one
         bits = max(0, bits - 8)
         rows = merged_.withColumnRenamed("part", "at").withColumn("part", F.shiftrightunsigned("at", 8) if bits else F.lit(0).cast("long"))
         merged_ = _merged_in_order(rows, ["host", "part"])
-    return merged_.select("host", "wrapper").mapInPandas(fixed, "host string, wrapper string, fixed array<string>")
+    return merged_.select("host", "wrapper").mapInPandas(lean(fixed), "host string, wrapper string, fixed array<string>")
 
 
 def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
@@ -318,5 +318,5 @@ def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html")
             yield pd.DataFrame({"page_id": p["page_id"], "url": p["url"], "text": text})
 
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema}
-    out = joined.mapInPandas(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
+    out = joined.mapInPandas(lean(run), f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

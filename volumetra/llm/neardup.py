@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from volumetra.llm import wordhash as wh
-from volumetra.llm.common import scratch, table, text_or_empty
+from volumetra.llm.common import lean, scratch, table, text_or_empty
 
 U = np.uint64
 BANDS, ROWS = 28, 6
@@ -39,7 +39,7 @@ SIMILARITY = 0.8
 #: Groups of shingles, by hash, in which the largest possible overlap of two sets is counted.
 GROUPS = 32
 #: Rows whose signatures are made at a time: darts take some 1,500 entries a row, however short its text.
-MOST_ROWS = 512
+MOST_ROWS = 256
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -123,7 +123,7 @@ def signed(docs: DataFrame, id_col="doc_id", text_col="text", bands=BANDS, rows=
 
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("key"), text_or_empty(text_col).alias("text"))
-    return slim.mapInArrow(run, f"doc_id {kind}, key binary, buckets array<bigint>")
+    return slim.mapInArrow(lean(run), f"doc_id {kind}, key binary, buckets array<bigint>")
 
 
 def _offsets(sizes: np.ndarray, bands: int) -> pa.Array:
@@ -182,7 +182,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(wh.cells(shingle, times).astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], lists], names=["key", "comp", "shingles"])
 
-    return texts.select("key", "comp", "text").mapInArrow(run, "key binary, comp binary, shingles array<bigint>")
+    return texts.select("key", "comp", "text").mapInArrow(lean(run), "key binary, comp binary, shingles array<bigint>")
 
 
 def connected(signs: DataFrame, docs: DataFrame, text_col="text", similarity: float = SIMILARITY) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volumetra.llm.boosting import Boosted
-from volumetra.llm.common import text_or_empty
+from volumetra.llm.common import lean, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION, WRONG = 0.99, 10
@@ -266,7 +266,7 @@ def detect(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
 
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return slim.mapInPandas(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
+    return slim.mapInPandas(lean(run), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:

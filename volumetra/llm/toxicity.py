@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volumetra.llm import wordhash as wh
-from volumetra.llm.common import text_or_empty
+from volumetra.llm.common import lean, text_or_empty
 
 U = np.uint64
 SAMPLE, LANDMARKS, DECAY, SPAN, BITS = 2000, 192, 0.6, 6, 16
@@ -38,6 +38,8 @@ FLOOR = -2.0
 THRESHOLD = 0.3
 #: Words whose margins make a document's score, rounds of training.
 TOP, ROUNDS = 3, 5
+#: Words whose subsequences are taken at a time.
+CHUNK = 2000
 _PAIRS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
 
@@ -110,14 +112,14 @@ class Model:
     def words(self, words: list[str]) -> np.ndarray:
         """Margin of each word."""
         out = np.empty(len(words))
-        for s in range(0, len(words), 5000):
-            some = [_parts(normal(w)) for w in words[s : s + 5000]]
+        for s in range(0, len(words), CHUNK):
+            some = [_parts(normal(w)) for w in words[s : s + CHUNK]]
             flat = [p for ps in some for p in ps]
             word, key, weight = subsequences(flat)
             value = np.bincount(word, weights=weight * self.weights[key], minlength=len(flat)) + self.bias
             value = np.where(np.bincount(word, minlength=len(flat)) > 0, value, FLOOR)
             at = np.cumsum([0] + [len(ps) for ps in some])[:-1]
-            out[s : s + 5000] = np.maximum.reduceat(value, at)
+            out[s : s + CHUNK] = np.maximum.reduceat(value, at)
         return np.maximum(out, FLOOR)
 
     def score(self, margins: np.ndarray) -> np.ndarray:
@@ -135,8 +137,8 @@ def _dense(words: list[str]) -> np.ndarray:
 def _project(words: list[str], basis: np.ndarray) -> np.ndarray:
     """Kernel features of the words times ``basis`` (2**BITS, k)."""
     out = np.zeros((len(words), basis.shape[1]), np.float32)
-    for i in range(0, len(words), 2000):
-        word, key, weight = subsequences(words[i : i + 2000])
+    for i in range(0, len(words), CHUNK // 4):
+        word, key, weight = subsequences(words[i : i + CHUNK // 4])
         if len(word):
             own, first = np.unique(word, return_index=True)
             out[i + own] = np.add.reduceat(basis[key] * weight[:, None].astype(np.float32), first, axis=0)
@@ -218,7 +220,7 @@ def _trained(data: _Bags, landmarks: int) -> Model | None:
         side = np.concatenate([np.ones(len(marks)), -np.ones(len(live))])
         weight = np.where(side > 0, len(words) / (2 * len(marks)), len(words) / (2 * len(live)))
         w = _machine(z, side, weight / weight.mean())
-        model = Model(basis.astype(float) @ w[:-1], float(w[-1]), np.ones(TOP), 0.0)
+        model = Model((basis @ w[:-1].astype(np.float32)).astype(float), float(w[-1]), np.ones(TOP), 0.0)
         if step == ROUNDS - 1:
             break
         near = model.words(negative)
@@ -328,7 +330,7 @@ class _Scorer:
         if not len(hashes):
             return np.full((n, TOP), FLOOR)
         own, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(own) > 2_000_000:  # forgetting changes no result
+        if len(self.known) + len(own) > 500_000:  # forgetting changes no result
             self.known, self.value = np.zeros(0, U), np.zeros(0)
         place = np.searchsorted(self.known, own)
         there = self.known[np.minimum(place, len(self.known) - 1)] == own if len(self.known) else np.zeros(len(own), dtype=bool)
@@ -377,7 +379,7 @@ def scores(docs: DataFrame, model: Model | None, text_col="text") -> DataFrame:
                 columns = [batch.column(k)[i:j] for k in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(score)], names=[*batch.schema.names[:-1], "score"])
 
-    return plain.withColumn("text", text_or_empty(text)).mapInArrow(run, plain.schema.add("score", "double"))
+    return plain.withColumn("text", text_or_empty(text)).mapInArrow(lean(run), plain.schema.add("score", "double"))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic") -> DataFrame:

@@ -14,7 +14,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 #: Bytes of text that are hashed at a time; a longer text is a piece of its own.
-PIECE = 1 << 20
+PIECE = 1 << 19
 WIDTH = 5
 
 
