@@ -1,6 +1,7 @@
 """A training corpus from raw documents in five stages; each takes what the one before it kept.
 
-All stages but the last return the columns they were given, whatever else they are called. Null texts count as empty and null ids are ids like any other; such documents, empty and very
+All stages but the last return the columns they were given, whatever else they are called. Null texts count as empty and null ids are ids like any
+other; such documents, empty and very
 long ones pass through all stages whole. An empty table of documents gives an empty result; without labels nothing is toxic, without benchmark nothing is contaminated.
 """
 
@@ -37,7 +38,8 @@ def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return tokenids.encode_and_read(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("mixing", mix_sources), ("token_ids", write_token_ids)]
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("mixing", mix_sources),
+    ("token_ids", write_token_ids)]
 
 #: Signatures, a trained classifier and a tokenizer are beyond SQL; the tests hold each stage against a plain version.
 ORACLE_SQL = None

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from volumetra.operators import packed, predict, volume
+from volumetra.operators import packed, predict, register, volume
 
 SHAPE = (3, 4, 5)
 
@@ -52,6 +52,9 @@ def test_kernels(one, cube):
     assert np.allclose(one(packed.group_norm(F.col("voxels"), 60, 4)), normed.ravel())
     assert np.allclose(one(packed.group_norm(F.col("voxels"), 60, 4, [1, 2, 3, 4], [0, 1, 0, 1])), (normed * np.array([[1], [2], [3], [4]]) + np.array([[0], [1], [0], [1]])).ravel())
     assert np.allclose(one(packed.dense(F.col("voxels"), np.ones((2, 60)), [1, 2])), [cube.sum() + 1, cube.sum() + 2])
+    step = packed.activate(packed.group_norm(packed.convolve([F.col("voxels")], SHAPE, [w[0]]), 60, 4))
+    assert np.allclose(one(packed.downsample(F.col("voxels"), SHAPE, w[0], 4)), one(packed.pool(step, SHAPE)))
+    assert one(packed.with_channel(F.col("voxels"))).shape == (60, 1)
 
 
 def test_nulls_stay_and_unknown_places_are_filled(spark):
@@ -118,3 +121,40 @@ def test_evaluation_is_written_by_participant(spark, tmp_path):
     assert both.count() == 12 and card.select("participant").distinct().count() == 1
     predict.write_evaluation(both, str(tmp_path / "evaluation"))
     assert spark.read.parquet(str(tmp_path / "evaluation")).where("participant = 1").count() == 12
+
+
+def test_registration_moves_the_centre_onto_the_template(spark):
+    def blob(x, y):
+        v = np.zeros((6, 6, 3))
+        v[x : x + 2, y : y + 2, 1] = 1
+        return v.ravel().tolist()
+
+    rows = [(1, t, blob(0, 1)) for t in range(4)] + [(2, t, blob(3, 3)) for t in range(4)] + [(3, 0, [0.0] * 108)]
+    volumes = spark.createDataFrame(rows, "run long, tr long, voxels array<double>")
+    template = spark.createDataFrame([(blob(2, 2),)], "voxels array<double>")
+    moved = register.by_centre(volumes, template, (6, 6, 3), passes=(None, None))
+    out = {(r["run"], r["tr"]): r["voxels"] for r in moved.collect()}
+    assert all(out[k, t] == blob(2, 2) for k in (1, 2) for t in range(4)) and sum(out[3, 0]) == 0
+    stats = register.statistics(register.shifts(volumes, template, (6, 6, 3))).first()
+    assert stats["total"] == pytest.approx(5**0.5 + 2**0.5)
+    same = register.plugged(volumes, lambda run: run.assign(voxels=[v * 2 for v in run["voxels"]]))
+    assert {r["run"]: sum(r["voxels"]) for r in same.collect()} == {1: 8.0, 2: 8.0, 3: 0.0}
+
+
+def test_training_and_scoring(spark):
+    from volumetra.__main__ import train_and_score
+    from volumetra.options import Options
+
+    rng = np.random.default_rng(2)
+    w = rng.normal(size=(8, 4))
+    volumes, labels = [], []
+    for p in range(10):
+        for t in range(30):
+            v = rng.normal(size=8)
+            volumes.append((p, t, v.tolist()))
+            labels += [(p, t, s, float(v @ w[:, 2 * s]), float(v @ w[:, 2 * s + 1])) for s in range(2)]
+    v = spark.createDataFrame(volumes, "participant long, tr long, voxels array<double>")
+    y = spark.createDataFrame(labels, "participant long, tr long, sub long, x double, y double")
+    _, both, scores = train_and_score(spark, v, y, Options(subsamples=2, ridge=1e-6))
+    card = scores.where("variant = 'all' and granularity = 'subtr'").collect()
+    assert len(card) == 4 and all(r["r2_x"] > 0.99 and r["r_y"] > 0.99 for r in card) and both.count() == 4 * 30 * 2

@@ -180,6 +180,16 @@ def residual(voxels: Column, shape: Shape, groups: int, first: Sequence[float],
     return _let(voxels, added)
 
 
+def with_channel(voxels: Column) -> Column:
+    """Each voxel as an array of one channel."""
+    return F.transform(voxels, lambda v: F.array(v))
+
+
+def downsample(voxels: Column, shape: Shape, weights: Sequence[float], groups: int) -> Column:
+    """Convolve, norm, mish and pool to half the size."""
+    return pool(activate(group_norm(convolve([voxels], shape, [weights]), size(shape), groups)), shape)
+
+
 def long_form(volumes: DataFrame, shape: Shape, keys: Sequence[str] = ("tr",), voxels: str = "voxels") -> DataFrame:
     """keys, x, y, z, v: one row a voxel."""
     v = volumes.select(*keys, F.posexplode(voxels).alias("i", "v"))

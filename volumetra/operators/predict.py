@@ -38,7 +38,8 @@ class LinearReadout:
         return volumes @ self.weights + self.bias
 
     def save(self, spark: SparkSession, path: str) -> None:
-        spark.createDataFrame([(json.dumps({"weights": self.weights.tolist(), "bias": self.bias.tolist()}),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        spark.createDataFrame([(json.dumps({"weights": self.weights.tolist(), "bias": self.bias.tolist()}),)],
+            "value string").coalesce(1).write.mode("overwrite").text(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> LinearReadout:
@@ -88,7 +89,8 @@ def fit(rows: DataFrame, voxels: int, outputs: int, ridge: float = 1.0) -> Linea
 
 def samples(predicted: DataFrame, keys: tuple[str, ...], subs: int) -> DataFrame:
     """(keys, sub, px, py, unc) from outputs p0 ... : x and y of each sub-sample in turn, then each one's uncertainty, of which the absolute value counts."""
-    one = lambda j: F.struct(F.lit(j).cast("long").alias("sub"), F.col(f"p{2 * j}").alias("px"), F.col(f"p{2 * j + 1}").alias("py"), F.abs(F.col(f"p{2 * subs + j}")).alias("unc"))
+    one = lambda j: F.struct(F.lit(j).cast("long").alias("sub"), F.col(f"p{2 * j}").alias("px"), F.col(f"p{2 * j + 1}").alias("py"),
+        F.abs(F.col(f"p{2 * subs + j}")).alias("unc"))
     return predicted.select(*keys, F.explode(F.array(*[one(j) for j in range(subs)])).alias("s")).select(*keys, "s.*")
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def resample(g: DataFrame, k: int) -> DataFrame:
     """k evenly spaced samples of each participant; fewer samples repeat."""
     n = g.groupBy("participant").agg(F.count(F.lit(1)).alias("n"))
-    want = n.select("participant", "n", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j")).select("participant", F.col("j").cast("long").alias("j"), F.expr(f"(j * (n - 1)) div {k - 1}").alias("rn"))
+    want = n.select("participant", "n", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j")).select("participant",
+        F.col("j").cast("long").alias("j"), F.expr(f"(j * (n - 1)) div {k - 1}").alias("rn"))
     return want.join(g, ["participant", "rn"])
 
 
@@ -17,7 +18,8 @@ def anchored(g: DataFrame, flag: str, span: int, k: int) -> DataFrame:
     """k samples from each flagged row over the next ``span`` rows, its end included."""
     n = g.groupBy("participant").agg(F.max("rn").alias("last"))
     a = g.where(flag).select("participant", F.col("rn").alias("i0")).join(n, "participant").withColumn("i1", F.least(F.col("i0") + span, "last"))
-    a = a.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).select("participant", "i0", F.col("j").cast("long").alias("j"), F.expr(f"i0 + (j * (i1 - i0)) div {k - 1}").alias("rn"))
+    a = a.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).select("participant", "i0", F.col("j").cast("long").alias("j"),
+        F.expr(f"i0 + (j * (i1 - i0)) div {k - 1}").alias("rn"))
     return a.join(g.select("participant", "rn", "x", "y"), ["participant", "rn"])
 
 
@@ -65,7 +67,8 @@ def smooth(g: DataFrame, n: int) -> DataFrame:
     """Moving average; the signal is padded in order with its first and last n samples."""
     size = F.count(F.lit(1)).over(Window.partitionBy("participant"))
     s = g.select("participant", "rn", "y", size.alias("size"))
-    padded = s.unionByName(s.where(F.col("rn") < n).withColumn("rn", F.col("rn") - n)).unionByName(s.where(F.col("rn") >= F.col("size") - n).withColumn("rn", F.col("rn") + n))
+    padded = s.unionByName(s.where(F.col("rn") < n).withColumn("rn",
+        F.col("rn") - n)).unionByName(s.where(F.col("rn") >= F.col("size") - n).withColumn("rn", F.col("rn") + n))
     w = Window.partitionBy("participant").orderBy("rn").rowsBetween(-(n // 2), (n - 1) // 2)
     out = padded.withColumn("y", F.sum("y").over(w) / n)
     return out.where((F.col("rn") >= 0) & (F.col("rn") < F.col("size"))).select("participant", "rn", "y")
@@ -75,4 +78,5 @@ def expand_labels(points: DataFrame, trs: int = 5, subs: int = 10) -> DataFrame:
     """Each point (i, px, py in [-0.95, 0.95]) for ``trs`` TRs and ``subs`` samples, in degrees."""
     out = points.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(trs - 1)))).withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(subs - 1))))
     scale = lambda c: (F.col(c) + 0.95) / 1.9 - 0.5
-    return out.select((F.col("i") * trs + F.col("k")).cast("long").alias("tr"), F.col("sub").cast("long").alias("sub"), (scale("px") * 19).alias("x"), (-scale("py") * 14.7).alias("y"))
+    return out.select((F.col("i") * trs + F.col("k")).cast("long").alias("tr"), F.col("sub").cast("long").alias("sub"), (scale("px") * 19).alias("x"),
+        (-scale("py") * 14.7).alias("y"))

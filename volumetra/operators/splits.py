@@ -115,7 +115,8 @@ def batches(g: DataFrame, epochs: int, steps: int, batch: int, mixed: bool = Tru
 def own_draws(g: DataFrame, draws: int) -> DataFrame:
     """(participant, draw, rn, x, y): ``draws`` samples of each participant, with replacement."""
     n = g.groupBy("participant").agg(F.count(F.lit(1)).alias("n"))
-    at = n.select("participant", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).alias("draw")).withColumn("rn", F.expr("(draw * 104729 + participant * 7919 + 7) % 99991 % n"))
+    at = n.select("participant", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).alias("draw")).withColumn("rn",
+        F.expr("(draw * 104729 + participant * 7919 + 7) % 99991 % n"))
     return _fetch(at.select("participant", "draw", "rn"), g)
 
 
@@ -128,7 +129,8 @@ def complete_index(p: DataFrame) -> DataFrame:
 def concatenate_runs(g: DataFrame) -> DataFrame:
     """``g`` with the TRs of each participant's runs numbered on from run to run."""
     lengths = g.groupBy("participant", "run").agg((F.max("tr") + 1).alias("length"))
-    before = F.coalesce(F.sum("length").over(Window.partitionBy("participant").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # runs of one participant
+    before = F.coalesce(F.sum("length").over(Window.partitionBy("participant").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0))  # runs of one participant
     return g.join(lengths.select("participant", "run", before.alias("before")), ["participant", "run"]).withColumn("tr", F.col("tr") + F.col("before")).drop("before")
 
 

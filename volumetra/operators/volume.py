@@ -47,13 +47,15 @@ def fill_outside(g: DataFrame, mask: DataFrame, value: float = 0.0) -> DataFrame
 
 
 def edges(mask: DataFrame) -> DataFrame:
-    """One row about a mask (x, y, z): its bounding box, the midpoint of its x range, and the middle of the widest gap in x (the first of the widest), where the eyes part.
+    """One row about a mask (x, y, z): its bounding box, the midpoint of its x range, and the middle of the widest gap in x (the first of the widest),
+    where the eyes part.
 
     The gap is looked for among the distinct x of the mask, at most one row a plane of the grid.
     """
     box = mask.agg(*[f(c).alias(f"{c}_{n}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))]).withColumn("mid", F.expr("x_min + (x_max - x_min) div 2"))
     planes = mask.select("x").distinct().agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    gaps = F.transform(F.slice("xs", F.lit(2), F.size("xs")), lambda x, i: F.struct((x - F.get("xs", i)).alias("gap"), (-x).alias("first"), whole_div(F.get("xs", i) + x, 2).alias("mid")))
+    gaps = F.transform(F.slice("xs", F.lit(2), F.size("xs")), lambda x, i: F.struct((x - F.get("xs", i)).alias("gap"), (-x).alias("first"),
+        whole_div(F.get("xs", i) + x, 2).alias("mid")))
     return box.join(planes.select(F.array_max(gaps)["mid"].alias("gap_mid")))  # one row each
 
 
@@ -67,7 +69,8 @@ def cut_eyes(g: DataFrame, mask: DataFrame, value: float = 0.0) -> DataFrame:
     inside = (c("y") >= c("y_min")) & (c("y") < c("y_max")) & (c("z") >= c("z_min")) & (c("z") < c("z_max")) & (c("x") >= c("x_min")) & (c("x") < c("x_max"))
     cut = fill_outside(g, mask, value).join(F.broadcast(e)).where(inside)  # one row
     right = c("x") >= c("part")
-    return cut.select("tr", F.when(right, c("x") - c("part")).otherwise(c("x") - c("x_min") + c("x_max") - c("part")).alias("x"), (c("y") - c("y_min")).alias("y"), (c("z") - c("z_min")).alias("z"), "v")
+    return cut.select("tr", F.when(right, c("x") - c("part")).otherwise(c("x") - c("x_min") + c("x_max") - c("part")).alias("x"),
+        (c("y") - c("y_min")).alias("y"), (c("z") - c("z_min")).alias("z"), "v")
 
 
 def voxel_report(g: DataFrame, at: tuple[int, int, int], bins: int = 75) -> DataFrame:
@@ -77,13 +80,15 @@ def voxel_report(g: DataFrame, at: tuple[int, int, int], bins: int = 75) -> Data
     parts = []
     for axis, k in zip("xyz", at):
         a, b = [c for c in "xyz" if c != axis]
-        parts.append(cube.where(F.col(axis) == k).select(F.lit(f"slice {axis}").alias("part"), F.col(a).alias("a"), F.col(b).alias("b"), safe_div(F.col("s"), F.col("n")).alias("v")))
+        parts.append(cube.where(F.col(axis) == k).select(F.lit(f"slice {axis}").alias("part"), F.col(a).alias("a"), F.col(b).alias("b"),
+            safe_div(F.col("s"), F.col("n")).alias("v")))
         parts.append(cube.groupBy(F.lit(f"mean {axis}").alias("part"), F.col(a).alias("a"), F.col(b).alias("b")).agg(safe_div(F.sum("s"), F.sum("n")).alias("v")))
     course = minmax_course(g.withColumn("run", F.lit(0)))
     parts.append(course.select(F.lit("course").alias("part"), F.col("tr").alias("a"), none.alias("b"), "v"))
     positive = g.where("v > 0").select("v")
     bounds = positive.agg(F.min("v").alias("lo"), ((F.max("v") - F.min("v")) / bins).alias("w"))  # one row
-    counted = positive.join(F.broadcast(bounds)).groupBy(F.least(F.floor(safe_div(F.col("v") - F.col("lo"), F.col("w"))), F.lit(bins - 1)).alias("a")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+    counted = positive.join(F.broadcast(bounds)).groupBy(F.least(F.floor(safe_div(F.col("v") - F.col("lo"), F.col("w"))),
+        F.lit(bins - 1)).alias("a")).agg(F.count(F.lit(1)).cast("double").alias("v"))
     parts.append(counted.select(F.lit("histogram").alias("part"), "a", none.alias("b"), "v"))
     return reduce(lambda x, y: x.unionByName(y), parts)
 

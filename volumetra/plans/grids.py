@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volumetra.operators import packed, predict, volume
+from volumetra.operators import packed, predict, register, volume
 from volumetra.plans.registry import C, V, query, rounded
 from volumetra.sources.tables import grid, packed_volumes
 
@@ -190,13 +190,15 @@ def ten_heads(spark, sf_dir):
     v = packed_volumes(spark, sf_dir).select("tr", packed.activate(packed.dense(F.col("voxels"), _matrix(6))).alias("h"))
     out = _matrix(30, 6)
     v = v.select("tr", packed.dense(F.col("h"), out[:20]).alias("p"), packed.activate(packed.dense(F.col("h"), out[20:])).alias("c"))
-    one = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda j: F.struct(j.cast("long").alias("sub"), F.get("p", 2 * j).alias("x"), F.get("p", 2 * j + 1).alias("y"), F.get("c", j).alias("confidence")))
+    one = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda j: F.struct(j.cast("long").alias("sub"), F.get("p", 2 * j).alias("x"), F.get("p",
+        2 * j + 1).alias("y"), F.get("c", j).alias("confidence")))
     return v.select("tr", F.explode(one).alias("r")).select("tr", "r.sub", *[F.round(f"r.{c}", 5).alias(c) for c in ("x", "y", "confidence")])
 
 
 _BLOCK = """n{k} AS (SELECT tr, vox, (v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 0.00001::DOUBLE) AS v FROM {of} WINDOW w AS (PARTITION BY tr, vox // 8)),
     m{k} AS (SELECT tr, vox, vox // 16 AS x, (vox // 4) % 4 AS y, vox % 4 AS z, v * tanh(ln(1 + exp(v))) AS v FROM n{k}),
-    r{k} AS (SELECT a.tr, a.vox, sum(b.v * {w}) AS v FROM m{k} a JOIN m{k} b ON a.tr = b.tr AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1 GROUP BY 1, 2)"""
+    r{k} AS (SELECT a.tr, a.vox, sum(b.v * {w}) AS v FROM m{k} a JOIN m{k} b ON a.tr = b.tr AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND
+    abs(a.z - b.z) <= 1 GROUP BY 1, 2)"""
 
 
 @query(f"""WITH {V}, {_BLOCK.format(k=0, of="v", w=_W.format(k=0))}, {_BLOCK.format(k=1, of="r0", w=_W.format(k=1))}
@@ -207,7 +209,8 @@ def residual_block(spark, sf_dir):
     return v.select("tr", F.col("vox").cast("long").alias("vox"), F.round("v", 5).alias("v"))
 
 
-@query(f"WITH {V} SELECT a.tr, round(a.s, 5) AS p0, round(b.s, 5) AS p1 FROM ({_UNITS.format(n=2)}) a JOIN ({_UNITS.format(n=2)}) b ON a.tr = b.tr WHERE a.o = 0 AND b.o = 1")
+@query(f"""WITH {V} SELECT a.tr, round(a.s, 5) AS p0, round(b.s, 5) AS p1 FROM ({_UNITS.format(n=2)}) a JOIN ({_UNITS.format(n=2)}) b ON a.tr = b.tr WHERE
+    a.o = 0 AND b.o = 1""")
 def predict_volumes(spark, sf_dir):
     """A predictor run over packed volumes in Arrow batches."""
     out = predict.run(packed_volumes(spark, sf_dir), predict.LinearReadout.fixed(64, 2))
@@ -234,8 +237,10 @@ def mask_edges(spark, sf_dir):
     return volume.edges(_mean_mask(v.select("tr", F.col("x").cast("long").alias("x"), zero.alias("y"), zero.alias("z"), "v")))
 
 
-@query(f"""WITH {_MASK}, {_EDGES}, f AS (SELECT c.tr, c.x, c.y, c.z, CASE WHEN m.x IS NULL THEN 0 ELSE v END AS v FROM c LEFT JOIN m ON c.x = m.x AND c.y = m.y AND c.z = m.z)
-    SELECT tr, CASE WHEN x >= coalesce(gap_mid, mid) THEN x - coalesce(gap_mid, mid) ELSE x - x_min + x_max - coalesce(gap_mid, mid) END AS x, y - y_min AS y, z - z_min AS z, round(v, 6) AS v
+@query(f"""WITH {_MASK}, {_EDGES}, f AS (SELECT c.tr, c.x, c.y, c.z, CASE WHEN m.x IS NULL THEN 0 ELSE v END AS v FROM c LEFT JOIN m ON c.x = m.x AND
+c.y = m.y AND c.z = m.z)
+    SELECT tr, CASE WHEN x >= coalesce(gap_mid, mid) THEN x - coalesce(gap_mid, mid) ELSE x - x_min + x_max - coalesce(gap_mid, mid) END AS x, y -
+    y_min AS y, z - z_min AS z, round(v, 6) AS v
     FROM f, e WHERE x >= x_min AND x < x_max AND y >= y_min AND y < y_max AND z >= z_min AND z < z_max""")
 def cut_mask(spark, sf_dir):
     """Both eyes cut from each volume with a mask and its edges. One exchange of partial sums for the mask."""
@@ -254,3 +259,28 @@ def cut_mask(spark, sf_dir):
 def volume_report(spark, sf_dir):
     """The data behind the quality report."""
     return rounded(volume.voxel_report(grid(spark, sf_dir), (1, 2, 3)))
+
+
+_CENTRES = f"""{C}, r AS (SELECT c.*, v.run FROM c JOIN (SELECT DISTINCT run, tr FROM v) v USING (tr)), w AS (SELECT run, tr, x, y, z, greatest(v, 0) AS w FROM r),
+    o AS (SELECT run, sum(w * x) / sum(w) AS cx, sum(w * y) / sum(w) AS cy, sum(w * z) / sum(w) AS cz FROM w GROUP BY 1),
+    t AS (SELECT sum(w * x) / sum(w) AS tx, sum(w * y) / sum(w) AS ty, sum(w * z) / sum(w) AS tz FROM w WHERE tr = 7),
+    d AS (SELECT run, CAST(round(tx - cx) AS BIGINT) AS dx, CAST(round(ty - cy) AS BIGINT) AS dy, CAST(round(tz - cz) AS BIGINT) AS dz FROM o, t)"""
+
+
+def _template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_volumes(spark, sf_dir).where("tr = 7")
+
+
+@query(f"""WITH {_CENTRES}, g AS (SELECT DISTINCT tr, run FROM r), i AS (SELECT tr, run, j // 16 AS x, (j // 4) % 4 AS y, j % 4 AS z FROM g, (SELECT
+unnest(range(0, 64)) AS j))
+    SELECT i.tr, i.x, i.y, i.z, round(coalesce(r.v, 0), 6) AS v FROM i JOIN d ON d.run = i.run LEFT JOIN r ON r.tr = i.tr AND r.x = i.x - dx AND r.y =
+    i.y - dy AND r.z = i.z - dz""")
+def register_runs(spark, sf_dir):
+    """Each run moved so that its centre of mass falls on that of one volume. One exchange of a row a run and task."""
+    v = register.by_centre(packed_volumes(spark, sf_dir), _template(spark, sf_dir), SHAPE)
+    return rounded(packed.long_form(v, SHAPE))
+
+
+@query(f"WITH {_CENTRES}, l AS (SELECT sqrt(dx ** 2 + dy ** 2 + dz ** 2) AS l FROM d) SELECT round(sum(l), 6) AS total, round(avg(l), 6) AS mean, round(stddev_pop(l), 6) AS std, round(median(l), 6) AS median FROM l")
+def register_statistics(spark, sf_dir):
+    return rounded(register.statistics(register.shifts(packed_volumes(spark, sf_dir), _template(spark, sf_dir), SHAPE)))

@@ -12,7 +12,8 @@ from volumetra.sources.masks import runs_of_log
 from volumetra.sources.tables import gaze, packed_volumes, read
 
 
-@query(f"WITH {G}, d AS (SELECT participant, rn - lag(rn) OVER (PARTITION BY participant ORDER BY rn) AS gap FROM g WHERE event_type = 'click') SELECT participant, min(gap) AS least_gap, count(DISTINCT gap) AS gaps FROM d GROUP BY 1")
+@query(f"""WITH {G}, d AS (SELECT participant, rn - lag(rn) OVER (PARTITION BY participant ORDER BY rn) AS gap FROM g WHERE event_type = 'click') SELECT
+    participant, min(gap) AS least_gap, count(DISTINCT gap) AS gaps FROM d GROUP BY 1""")
 def flag_spacing(spark, sf_dir):
     return series.least_gap(gaze(spark, sf_dir), "event_type = 'click'")
 
@@ -24,7 +25,8 @@ def angle_euclid(spark, sf_dir):
     d = metrics.predict_by_mean(gaze(spark, sf_dir)).select("participant", "rn", (F.col("px") - F.col("tx")).alias("dx"), (F.col("py") - F.col("ty")).alias("dy"))
     d = d.withColumn("dy", F.when(F.abs("dy") <= 1e-6, 0.0).otherwise(F.col("dy")))
     zero = F.lit(0.0)
-    return rounded(d.select("participant", "rn", scalars.euclid(F.col("dx"), F.col("dy"), zero, zero).alias("dist"), scalars.angle(F.col("dx"), F.col("dy")).alias("angle")))
+    return rounded(d.select("participant", "rn", scalars.euclid(F.col("dx"), F.col("dy"), zero, zero).alias("dist"), scalars.angle(F.col("dx"),
+        F.col("dy")).alias("angle")))
 
 
 _ORDER = "((participant * 7919 + 13) % 100003) % 1024, participant"
@@ -41,7 +43,8 @@ _PICK = "(id * 104729 + 7) % 99991 % n"
 
 
 @query(f"""WITH {G}, {_PEOPLE}, s AS (SELECT id, ((id * 7919 + 13) % 100003) % (SELECT max(m) FROM i) AS i FROM (SELECT unnest(range(0, 1000)) AS id))
-    SELECT d.slot, d.participant, d.rn, round(x, 6) AS x, y FROM (SELECT id AS slot, participant, {_PICK} AS rn FROM s JOIN i USING (i)) d JOIN g USING (participant, rn)""")
+    SELECT d.slot, d.participant, d.rn, round(x, 6) AS x, y FROM (SELECT id AS slot, participant, {_PICK} AS rn FROM s JOIN i USING (i)) d JOIN g
+    USING (participant, rn)""")
 def mixed_batch_sample(spark, sf_dir):
     return rounded(splits.mixed_batch(gaze(spark, sf_dir), 1000))
 
@@ -93,7 +96,8 @@ _HASH = "(c_custkey * 7919 + 13) % 100003"
 
 @query(f"""WITH {_UNITS}
     SELECT 'holdout' AS how, '0' AS round, c_custkey,
-      CASE WHEN row_number() OVER (PARTITION BY r_name ORDER BY {_HASH}, c_custkey) <= floor(0.6::DOUBLE * count(*) OVER (PARTITION BY r_name)) THEN 'train' ELSE 'test' END AS part FROM u
+      CASE WHEN row_number() OVER (PARTITION BY r_name ORDER BY {_HASH}, c_custkey) <= floor(0.6::DOUBLE * count(*) OVER (PARTITION BY r_name)) THEN
+      'train' ELSE 'test' END AS part FROM u
     UNION ALL SELECT 'folds', CAST(fold AS VARCHAR), c_custkey, CASE WHEN fold = own THEN 'test' ELSE 'train' END
       FROM (SELECT c_custkey, ntile(4) OVER (ORDER BY ({_HASH}) % 1024, c_custkey) - 1 AS own FROM u), (SELECT unnest(range(0, 4)) AS fold)
     UNION ALL SELECT 'leave_one_out', h.r_name, c_custkey, CASE WHEN u.r_name = h.r_name THEN 'test' ELSE 'train' END FROM u, (SELECT DISTINCT r_name FROM u) h""")
@@ -101,11 +105,13 @@ def split_factory(spark, sf_dir):
     """All ways of splitting over three of the datasets."""
     n = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     u = read(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "r_name")
-    ways = [splits.split(u, how, "c_custkey", "r_name", 0.6, 4, ["ASIA", "EUROPE", "AFRICA"]).select(F.lit(how).alias("how"), "round", "c_custkey", "part") for how in ("holdout", "folds", "leave_one_out")]
+    ways = [splits.split(u, how, "c_custkey", "r_name", 0.6, 4, ["ASIA", "EUROPE", "AFRICA"]).select(F.lit(how).alias("how"), "round", "c_custkey",
+        "part") for how in ("holdout", "folds", "leave_one_out")]
     return ways[0].unionByName(ways[1]).unionByName(ways[2])
 
 
-_BLOCKS = f"""{G}, b AS (SELECT participant, rn // 50 AS run, rn % 50 // 10 AS tr, rn, CASE WHEN participant % 3 > 0 THEN x END AS rx, CASE WHEN participant % 3 > 0 THEN y END AS ry, CAST(rn % 7 AS DOUBLE) AS tx, y AS ty,
+_BLOCKS = f"""{G}, b AS (SELECT participant, rn // 50 AS run, rn % 50 // 10 AS tr, rn, CASE WHEN participant % 3 > 0 THEN x END AS rx, CASE WHEN
+participant % 3 > 0 THEN y END AS ry, CAST(rn % 7 AS DOUBLE) AS tx, y AS ty,
     NOT (rn % 50 // 10 = 2 AND participant % 2 = 0) AS there FROM g),
     f AS (SELECT participant, run, tr, rn, CASE WHEN real THEN rx ELSE tx END AS x, CASE WHEN real THEN ry ELSE ty END AS y, real
       FROM (SELECT *, count(rx) OVER (PARTITION BY participant, run) > 0 AS real FROM b WHERE there))"""
@@ -115,7 +121,8 @@ def _blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Recorded samples of runs of five TRs: a third of the participants has no measured positions, half of them lack their third TR; and all TRs expected."""
     g = gaze(spark, sf_dir)
     real = F.col("participant") % 3 > 0
-    b = g.select("participant", F.expr("rn div 50").alias("run"), F.expr("rn % 50 div 10").alias("tr"), "rn", F.when(real, F.col("x")).alias("rx"), F.when(real, F.col("y")).alias("ry"), (F.col("rn") % 7).cast("double").alias("tx"), F.col("y").alias("ty"))
+    b = g.select("participant", F.expr("rn div 50").alias("run"), F.expr("rn % 50 div 10").alias("tr"), "rn", F.when(real, F.col("x")).alias("rx"),
+        F.when(real, F.col("y")).alias("ry"), (F.col("rn") % 7).cast("double").alias("tx"), F.col("y").alias("ty"))
     return b.where("not (tr = 2 and participant % 2 = 0)"), b.select("participant", "run", "tr").distinct()
 
 
@@ -125,9 +132,11 @@ def label_means(spark, sf_dir):
     return rounded(labels.tr_means(labels.with_fallback(_blocks(spark, sf_dir)[0])))
 
 
-@query(f"""WITH {_BLOCKS}, w AS (SELECT *, row_number() OVER (PARTITION BY participant, run, tr ORDER BY rn) - 1 AS i, count(*) OVER (PARTITION BY participant, run, tr) AS n FROM f),
+@query(f"""WITH {_BLOCKS}, w AS (SELECT *, row_number() OVER (PARTITION BY participant, run, tr ORDER BY rn) - 1 AS i, count(*) OVER (PARTITION BY
+participant, run, tr) AS n FROM f),
     e AS (SELECT DISTINCT participant, run, tr FROM b), s AS (SELECT * FROM e, (SELECT unnest(range(0, 4)) AS sub))
-    SELECT s.participant, s.run, s.tr, s.sub, round(w.x, 6) AS x, w.y FROM s LEFT JOIN w ON s.participant = w.participant AND s.run = w.run AND s.tr = w.tr AND w.i = s.sub * (w.n - 1) // 3""")
+    SELECT s.participant, s.run, s.tr, s.sub, round(w.x, 6) AS x, w.y FROM s LEFT JOIN w ON s.participant = w.participant AND s.run = w.run AND s.tr =
+    w.tr AND w.i = s.sub * (w.n - 1) // 3""")
 def label_fallback(spark, sf_dir):
     """Four samples of each expected TR; one without samples gives four rows of nulls."""
     blocks, expected = _blocks(spark, sf_dir)
@@ -136,7 +145,8 @@ def label_fallback(spark, sf_dir):
 
 @query(f"""WITH {G}, k AS (SELECT participant, rn, CAST(event_type = 'click' AS INT) AS flag, CAST(event_type <> 'signup' AS INT) AS clock, x, y FROM g),
     r AS (SELECT *, sum(CAST(clock = 0 AS INT)) OVER (PARTITION BY participant ORDER BY rn) AS run FROM k),
-    m AS (SELECT *, row_number() OVER (PARTITION BY participant, run ORDER BY rn) - 1 AS i, count(*) OVER (PARTITION BY participant, run) - 1 AS last FROM r WHERE clock <> 0),
+    m AS (SELECT *, row_number() OVER (PARTITION BY participant, run ORDER BY rn) - 1 AS i, count(*) OVER (PARTITION BY participant, run) - 1 AS last
+    FROM r WHERE clock <> 0),
     a AS (SELECT participant, run, i AS i0, least(i + 7, last) AS i1, row_number() OVER (PARTITION BY participant, run ORDER BY i) - 1 AS tr FROM m WHERE flag = 1)
     SELECT CAST(a.participant AS VARCHAR) AS path, CAST(a.run AS BIGINT) AS run, a.tr, j AS sub, round(m.x, 6) AS x, m.y FROM a, (SELECT unnest(range(0, 4)) AS j)
     JOIN m ON m.participant = a.participant AND m.run = a.run AND m.i = a.i0 + j * (a.i1 - a.i0) // 3""")
@@ -160,7 +170,8 @@ _EVALUATION = f"""{V}, w AS (SELECT run AS participant, tr AS vec, row_number()
     o AS (SELECT tr AS vec, o, sum(v * (((vox * 7 + o * 3) % 11) - 5) / 10::DOUBLE) AS s FROM v, (SELECT unnest(range(0, 30)) AS o) GROUP BY 1, 2),
     p AS (SELECT w.participant, w.tr, x.o // 2 AS sub, x.s AS px, y.s AS py, abs(u.s) AS unc FROM w JOIN o x ON x.vec = w.vec AND x.o < 20 AND x.o % 2 = 0
       JOIN o y ON y.vec = w.vec AND y.o = x.o + 1 JOIN o u ON u.vec = w.vec AND u.o = 20 + x.o // 2),
-    e AS (SELECT user_id % 10 AS participant, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) - 1 AS rn, CASE WHEN event_type <> 'error' OR event_id % 40 > 0 THEN value END AS x,
+    e AS (SELECT user_id % 10 AS participant, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) - 1 AS rn, CASE WHEN event_type <>
+    'error' OR event_id % 40 > 0 THEN value END AS x,
       CAST(json_extract_string(props, '$.k') AS DOUBLE) AS y FROM events),
     q AS (SELECT p.*, e.x AS tx, e.y AS ty FROM p JOIN e ON e.participant = p.participant AND e.rn // 10 = p.tr AND e.rn % 10 = p.sub)"""
 
@@ -192,7 +203,8 @@ def evaluation_rows(spark, sf_dir):
     return rows.select("participant", "tr", "sub", *[F.round(c, 5).alias(c) for c in ("px", "py", "unc")], F.round("tx", 6).alias("tx"), "ty")
 
 
-@query(f"""WITH {PRED}, h AS (SELECT participant, tr, max(tx) AS tx, max(ty) AS ty, max(px) AS px, max(py) AS py FROM q GROUP BY ALL HAVING count(*) = count(tx) AND count(*) = count(ty))
+@query(f"""WITH {PRED}, h AS (SELECT participant, tr, max(tx) AS tx, max(ty) AS ty, max(px) AS px, max(py) AS py FROM q GROUP BY ALL HAVING count(*) =
+count(tx) AND count(*) = count(ty))
     SELECT participant, round(avg(sqrt((tx - px) ** 2 + (ty - py) ** 2)), 6) AS e_mean FROM h GROUP BY 1""")
 def scorecard_by_hook(spark, sf_dir):
     """The scorecard by TR with another aggregate in place of the median."""

@@ -39,7 +39,8 @@ def scan_npz(spark: SparkSession, path: str, first: int | None = None, last: int
                     for tr in sorted(t for t, kinds in members.items() if {"data", "label"} <= kinds and (first is None or t >= first) and (last is None or t <= last)):
                         labels = np.atleast_2d(archive[f"label_{tr}"]).astype(np.float32)
                         identifier = _text(archive[f"identifier_{tr}"]) if "identifier" in members[tr] else None
-                        yield pd.DataFrame({"path": [name], "tr": [tr], "identifier": [identifier], "voxels": [archive[f"data_{tr}"].astype(np.float32).ravel()], "labels": [list(labels)]})
+                        yield pd.DataFrame({"path": [name], "tr": [tr], "identifier": [identifier],
+                            "voxels": [archive[f"data_{tr}"].astype(np.float32).ravel()], "labels": [list(labels)]})
 
     missing = lambda v: F.when(F.isnan(v), None).otherwise(v)
     out = files.mapInPandas(decode, SCHEMA)
@@ -49,7 +50,8 @@ def scan_npz(spark: SparkSession, path: str, first: int | None = None, last: int
 def label_samples(archive: DataFrame) -> DataFrame:
     """path, tr, sub, x, y: the samples of scanned archives in long form."""
     s = archive.select("path", "tr", F.posexplode("labels").alias("sub", "xy"))
-    return s.select("path", "tr", F.col("sub").cast("long").alias("sub"), F.get("xy", F.lit(0)).cast("double").alias("x"), F.get("xy", F.lit(1)).cast("double").alias("y"))
+    return s.select("path", "tr", F.col("sub").cast("long").alias("sub"), F.get("xy", F.lit(0)).cast("double").alias("x"), F.get("xy",
+        F.lit(1)).cast("double").alias("y"))
 
 
 def scan_labels_csv(spark: SparkSession, path: str) -> DataFrame:

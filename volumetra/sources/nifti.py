@@ -93,7 +93,8 @@ def scan(spark: SparkSession, path: str, pattern: str = "*.nii*") -> DataFrame:
 def long_form(volumes: DataFrame) -> DataFrame:
     """path, tr, x, y, z, v of scanned volumes."""
     v = volumes.select("path", "tr", "ny", "nz", F.posexplode("voxels").alias("i", "v"))
-    return v.select("path", "tr", *[F.expr(e).cast("long").alias(c) for c, e in zip("xyz", ("i div (ny * nz)", "(i div nz) % ny", "i % nz"))], F.col("v").cast("double").alias("v"))
+    return v.select("path", "tr", *[F.expr(e).cast("long").alias(c) for c, e in zip("xyz", ("i div (ny * nz)", "(i div nz) % ny", "i % nz"))],
+        F.col("v").cast("double").alias("v"))
 
 
 def encode_series(volumes: DataFrame, key: str = "path") -> DataFrame:

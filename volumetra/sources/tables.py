@@ -26,7 +26,8 @@ def gaze(spark: SparkSession, sf_dir: str) -> DataFrame:
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """run, tr, vox (0 to 63), v: one row a voxel."""
     e = read(spark, sf_dir, "embeddings")
-    return e.select(F.col("label").cast("long").alias("run"), F.col("vec_id").alias("tr"), F.posexplode("embedding").alias("vox", "v")).withColumns({"vox": F.col("vox").cast("long"), "v": F.col("v").cast("double")})
+    return e.select(F.col("label").cast("long").alias("run"), F.col("vec_id").alias("tr"), F.posexplode("embedding").alias("vox",
+        "v")).withColumns({"vox": F.col("vox").cast("long"), "v": F.col("v").cast("double")})
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:

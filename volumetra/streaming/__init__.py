@@ -17,7 +17,8 @@ def read_samples(spark: SparkSession, folder: str, schema: str = SCHEMA, files_a
 def summaries(samples: DataFrame, window: str = "1 day", late: str = "2 days") -> DataFrame:
     """participant, start, n, missing, mean of each window; state of windows older than the watermark is dropped, so it doesn't grow with the stream."""
     w = samples.withWatermark("at", late).groupBy("participant", F.window("at", window).alias("w"))
-    return w.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x").isNull()).alias("missing"), F.avg("x").alias("mean")).select("participant", F.col("w.start").alias("start"), "n", "missing", "mean")
+    return w.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x").isNull()).alias("missing"), F.avg("x").alias("mean")).select("participant",
+        F.col("w.start").alias("start"), "n", "missing", "mean")
 
 
 def write(stream: DataFrame, path: str, checkpoint: str):
