@@ -3,16 +3,20 @@
 Words are runs of letters and digits in lower case. The grams of a test item are its runs of two and of ``SEED`` words. One pass over the documents
 counts in how many of them each gram occurs. The seeds of an item are its rare grams: those in at most ``RARE`` times as many documents as the
 median of the item's own ``SEED``-grams (so an item that leaked into a large part of the corpus keeps its seeds), in at most ``SHARE`` of the documents (a tenth of that
-for two words), or in at most ``FEW``. A second pass keeps the documents that hold a seed, with the places; these are joined to the seeds and so to the items, and the item
+for two words), or in at most ``FEW``. A second pass keeps the documents that hold a seed, with the places; these are joined to the seeds and so to
+the items, and the item
 is aligned, word by word, with the stretches of the document around its seeds, so an edited or paraphrased copy still scores.
 A document is contaminated by an item if the alignment reaches ``LEAST`` of the score of a full match.
 
 Nothing of benchmark or corpus is gathered on the driver but a bitmap of gram hashes of at most ``2**MOST_BITS`` bits, which both passes
-use as a filter; what it lets through in error the joins on whole hashes remove. Counts, seeds and items are tables that the planner broadcasts if they are small and shuffles else. Equal
+use as a filter; what it lets through in error the joins on whole hashes remove. Counts, seeds and items are tables that the planner broadcasts if
+they are small and shuffles else. Equal
 texts are aligned once.
 
-Defined results: null documents and items count as empty; items without a word match nothing; items of up to ``SEED`` words must occur as they are, and only count if they occur in
-so few documents as above (an item "yes" condemns nothing); repeated items give rows of their own, equal texts equal rows; null ids stay null; texts of any length are searched and aligned whole;
+Defined results: null documents and items count as empty; items without a word match nothing; items of up to ``SEED`` words must occur as they are,
+and only count if they occur in
+so few documents as above (an item "yes" condemns nothing); repeated items give rows of their own, equal texts equal rows; null ids stay null; texts
+of any length are searched and aligned whole;
 columns with other names than the four given are carried but not read; empty tables give no contaminated document.
 """
 
@@ -140,7 +144,8 @@ def _items(benchmark: DataFrame, item_col: str, item_text: str) -> tuple[DataFra
                 for width, gram, row, place in found:
                     n = size[i:j][row]
                     use = (width == np.minimum(n, SEED)) | ((width == 2) & (n > SEED))
-                    columns = [b.column(0).take(pa.array(i + row[use])), pa.array(n[use]), pa.array(gram[use].astype(np.int64)), pa.array(np.full(use.sum(), width, np.int32)), pa.array(place[use].astype(np.int32))]
+                    columns = [b.column(0).take(pa.array(i + row[use])), pa.array(n[use]), pa.array(gram[use].astype(np.int64)),
+                        pa.array(np.full(use.sum(), width, np.int32)), pa.array(place[use].astype(np.int32))]
                     yield pa.RecordBatch.from_arrays(columns, names=["iid", "n", "gram", "width", "pos"])
 
     kind = benchmark.schema[item_col].dataType.simpleString()
@@ -222,7 +227,8 @@ def _matches(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str
                     take = pa.array(i + own)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(take), text.take(take), *lists], names=["name", "words", "grams", "places"])
 
-    held_by = docs.select(name(text_col).alias("name"), text_or_empty(text_col).alias("text")).mapInArrow(lean(run), "name binary, words string, grams array<long>, places array<int>")
+    held_by = docs.select(name(text_col).alias("name"), text_or_empty(text_col).alias("text")).mapInArrow(lean(run),
+        "name binary, words string, grams array<long>, places array<int>")
     found = table(held_by.groupBy("name").agg(*[F.first(c).alias(c) for c in ("words", "grams", "places")]), "leak-found")
     spots = found.select("name", F.explode(F.arrays_zip("grams", "places")).alias("x")).select("name", F.col("x.grams").alias("gram"), F.col("x.places").alias("place"))
     spots = spots.join(seeds, "gram").groupBy("name", "iid").agg(F.collect_set(F.col("place") - F.col("pos")).alias("starts"))
@@ -233,7 +239,8 @@ def _matches(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = None
         for b in batches:
-            schema = schema or pa.schema([("name", pa.binary()), ("item_id", b.schema.field("items").type.value_type.field("item_id").type), ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
+            schema = schema or pa.schema([("name", pa.binary()), ("item_id", b.schema.field("items").type.value_type.field("item_id").type), ("score",
+                pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
             rows = []
             for k in range(b.num_rows):
                 document = b.column(1)[k].as_py().split(" ")
@@ -247,7 +254,8 @@ def _matches(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str
     return table(both.mapInArrow(lean(check), kind), "leak-matches")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text="text", least: float = LEAST, bits: int | None = None) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text="text", least: float = LEAST,
+    bits: int | None = None) -> DataFrame:
     """Rows (doc_id, item_id, score, start, end) of documents that hold a copy of a test item; positions count words."""
     found = matches(docs, benchmark, text_col, item_col, item_text, least, bits)
     return docs.select(F.col(id_col).alias("doc_id"), name(text_col).alias("name")).join(found, "name").select("doc_id", "item_id", "score", "start", "end")

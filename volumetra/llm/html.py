@@ -4,13 +4,15 @@ A page becomes a tree of block elements with text slots (inline markup is taken
 host is a union-free regular expression over such trees: the streams of children of two elements are aligned; what both have is matched
 and merged, what one lacks becomes an optional group, neighbours of one kind a repeated group, and a text that differs
 becomes a slot. Aligning page after page changes the wrapper only at mismatches. Wrappers merge like pages. The different pages of a host are dealt into as many parts as
-their number asks for, by a hash of the page, and merged in the order of that hash, part after part, so the wrapper depends on the set of pages alone, and no task gets all pages of a large host.
+their number asks for, by a hash of the page, and merged in the order of that hash, part after part, so the wrapper depends on the set of pages alone,
+and no task gets all pages of a large host.
 
 The article is the page's article or main element. All of it stays but menus, sidebars, footers, forms, scripts, notices, adverts and reader comments, known by the element
 or by a name that says just that. In pages without one the wrapper decides: slots that hold the same text on nearly all
 different pages of a host are its template and go, and so do slots that are mostly links; elements with a telling name go too. What is left are the blocks.
 
-Defined results: null, empty or markup-only html gives an empty text; a page cut off in the middle gives what is there; pages without a host in their url share the wrapper of the empty host;
+Defined results: null, empty or markup-only html gives an empty text; a page cut off in the middle gives what is there; pages without a host in their
+url share the wrapper of the empty host;
 repeated pages and null ids are pages like others, but copies of a page count once for its host's wrapper; pages of any length and depth are read whole (elements below the ``DEEPEST``-th level are never
 template); columns other than the three named are not read, so their names don't matter; an empty table gives no rows.
 """

@@ -89,7 +89,8 @@ def thresholds(slim: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     closed = 2 * F.col("before") + F.col("last") <= 2 * F.col("rest")
     some = bound.select("sk", F.col("prefix").alias("threshold"), closed.alias("closed"))
     whole = first.select("sk", "source_size", "target", "passes").join(some, "sk", "left")
-    return table(whole.select("sk", "source_size", "target", "passes", F.coalesce("threshold", F.lit(-1)).alias("threshold"), F.coalesce("closed", F.lit(False)).alias("closed")), "mix-bounds")
+    return table(whole.select("sk", "source_size", "target", "passes", F.coalesce("threshold", F.lit(-1)).alias("threshold"), F.coalesce("closed",
+        F.lit(False)).alias("closed")), "mix-bounds")
 
 
 def _copies(most: int) -> Column:

@@ -4,18 +4,22 @@ Each weighted element owns a region: the unit cells of its weight times an axis
 Poisson process that depends on element and cell alone; a dart knows its rank, its height in the cell
 and a coordinate of the signature. A set's signature keeps, for each coordinate, the dart of the lowest
 rank that lies within the set's regions. Two sets agree in a coordinate with the probability of their weighted Jaccard
-similarity. The elements of a text are its shingles of five words, the weight of one is how often it occurs. Only darts up to a rank that fills all coordinates with near certainty are thrown, so the work is
+similarity. The elements of a text are its shingles of five words, the weight of one is how often it occurs. Only darts up to a rank that fills all
+coordinates with near certainty are thrown, so the work is
 the number of elements plus ``k ln k`` darts, not their product; where a coordinate stays empty, the rank is doubled.
 
 Texts that are equal share one key and are compared once. Bands of the signature give buckets. Each
 bucket links its members to one leader, the member that meets most others over all bands: it lies near the middle of its group, so a bucket of m copies
-gives m - 1 pairs and nearly all links. Links are verified by the exact weighted similarity, that of the bags of shingles. Members that hang apart from their bucket's main
+gives m - 1 pairs and nearly all links. Links are verified by the exact weighted similarity, that of the bags of shingles. Members that hang apart
+from their bucket's main
 component are then compared with members of other components, but only where a link is possible: of a set's shingles, only those that occur
-in two components or more can be shared across components, counted by groups of their hashes, and a pair whose smaller counts sum to less than the similarity asks for is never made.
+in two components or more can be shared across components, counted by groups of their hashes, and a pair whose smaller counts sum to less than the
+similarity asks for is never made.
 That bound is exact, so no candidate of the bands is lost. Components are found by label passing over tables, never on the driver.
 
 Defined results: a null text counts as empty; equal texts are one class, also empty ones; repeated rows and null ids stay rows of
-their class, whose id is its least id (null if it has none); texts of any length are taken whole, one of fewer than five words is a single shingle; other columns are carried but not read, whatever their
+their class, whose id is its least id (null if it has none); texts of any length are taken whole, one of fewer than five words is a single shingle;
+other columns are carried but not read, whatever their
 names; an empty table gives no rows.
 """
 
@@ -199,13 +203,15 @@ def connected(signs: DataFrame, docs: DataFrame, text_col="text", similarity: fl
     texts = table(texts.groupBy("key").agg(F.first("text").alias("text")), "nd-texts")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+        both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"),
+            F.col("text").alias("tb")), "b")
         return table(both.select("a", "b", jaccard("ta", "tb").alias("s")).where(F.col("s") >= similarity).select("a", "b"), name)
 
     comps = components(verified(stars, "nd-links"), "nd-cc")
     named = rows.join(comps, "key", "left").select("key", "bucket", F.coalesce("comp", "key").alias("comp"))
     split = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    split = split.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("m")).where("comps > 1").select("bucket", F.col("m.comp").alias("main"))
+    split = split.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("m")).where("comps > 1").select("bucket",
+        F.col("m.comp").alias("main"))
     mixed = table(named.join(split, "bucket"), "nd-mixed")
     sets = table(shingle_sets(texts.join(mixed.select("key", "comp").distinct(), "key")), "nd-sets")
     each = sets.select("key", "comp", F.explode("shingles").alias("shingle"))
@@ -215,7 +221,8 @@ def connected(signs: DataFrame, docs: DataFrame, text_col="text", similarity: fl
     # a link needs similarity * union <= overlap <= reach, and the union holds all of either set
     live = sets.select("key", F.size("shingles").cast("long").alias("size")).join(reach, "key").where(F.col("reach") >= F.col("size") * similarity)
     live = table(mixed.join(live, "key"), "nd-live")
-    side = lambda df, k, c, s, r: df.select("bucket", F.col("key").alias(k), F.col("comp").alias(c), F.col("size").alias(s), *[F.col(f"r{g}").alias(f"{r}{g}") for g in range(GROUPS)])
+    side = lambda df, k, c, s, r: df.select("bucket", F.col("key").alias(k), F.col("comp").alias(c), F.col("size").alias(s),
+        *[F.col(f"r{g}").alias(f"{r}{g}") for g in range(GROUPS)])
     one, other = side(live.where("comp <> main"), "x", "cx", "sx", "rx"), side(live, "y", "cy", "sy", "ry")
     most = sum((F.least(f"rx{g}", f"ry{g}") for g in range(GROUPS)), F.lit(0))
     possible = most * (1 + similarity) >= (F.col("sx") + F.col("sy")) * similarity - 1e-6

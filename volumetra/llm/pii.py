@@ -1,12 +1,14 @@
 """Personal data by candidate gradient boosting.
 
-Strict patterns give the base spans. High-recall generators then propose further, overlapping spans (spelled-out e-mail addresses, numbers of any grouping, colon-separated
+Strict patterns give the base spans. High-recall generators then propose further, overlapping spans (spelled-out e-mail addresses, numbers of any
+grouping, colon-separated
 addresses), and boosted trees judge each by its format and context. The trees are trained here on drawn examples in drawn contexts, the same
 on each run. Each kind's threshold is calibrated on examples of other templates in other contexts, where ``WRONG`` wrong candidates come to a right one, as in running
 text wrong ones prevail: it is the least at which ``PRECISION`` of what passes is right. A number that fails the Luhn test is no card. Of overlapping
 candidates the most probable stays, and none may overlap a base span. Positions are code points, ends exclusive.
 
-Defined results: a null text counts as empty and has no spans; equal texts give equal rows; null or repeated ids are kept; texts of any length are searched whole; columns other than id and text are not
+Defined results: a null text counts as empty and has no spans; equal texts give equal rows; null or repeated ids are kept; texts of any length are
+searched whole; columns other than id and text are not
 read, so their names don't matter; an empty table gives no rows. All patterns take time in proportion to the text.
 """
 
@@ -88,11 +90,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 _GENERATORS = {
     "email": [re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\s?(?:[\[({]\s?at\s?[\])}]|\s(?:at|AT)\s|＠)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:[\[({]\s?dot\s?[\])}]|\s(?:dot|DOT)\s|\.)\s?[A-Za-z0-9-]{1,63}){1,4}")],
-    "ip": [re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"), re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\s?[\[(]?\.[\])]?\s?[0-9]{1,3}){3}(?![0-9])")],
+    "ip": [re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
+        re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\s?[\[(]?\.[\])]?\s?[0-9]{1,3}){3}(?![0-9])")],
     "card": [re.compile(r"(?<![0-9A-Za-z])[0-9](?:[ ./_-]{0,2}[0-9]){11,18}(?![0-9A-Za-z])")],
     "phone": [re.compile(r"(?<![0-9A-Za-z])(?:\+|00|\()?[0-9](?:[ ()./-]{0,3}[0-9]){6,14}(?![0-9A-Za-z])")],
 }
-_HINTS = {"email": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "address", "login"), "card": ("card", "visa", "credit", "master", "amex", "pay"), "phone": ("phone", "tel", "call", "fax", "mobile", "whatsapp")}
+_HINTS = {"email": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "address", "login"), "card": ("card", "visa", "credit", "master",
+    "amex", "pay"), "phone": ("phone", "tel", "call", "fax", "mobile", "whatsapp")}
 _AGAINST = ("order", "invoice", "id", "no", "version", "isbn", "sku", "serial", "hash", "token", "date", "eur", "usd", "price", "total", "article", "ref")
 #: What every match of the e-mail generator has: the word at, or the full-width sign.
 _MAY_AT = re.compile(r"\b(?:at|AT)\b|＠")
@@ -168,9 +172,13 @@ def _trained(d: _Draw) -> dict:
         ("ip", 1): [d.hexes(8), f"2001:db8:{d.hexes(1)}::{d.hexes(1)}", d.bytes("[.]"), d.bytes(" . ")],
         ("ip", 0): [f"{n(2)}:{n(2)}:{n(2)}", f"{n(1)}:{n(1)}:{n(1)}", d.bytes(". ", 30), f"{n(2)}:{n(2)}:{n(2)}:{n(2)}"],
         ("card", 1): [d.card(sep="."), d.card(sep="/"), d.card(sep="  "), d.card(sep=" - ")],
-        ("card", 0): [n(12), d.card(False), d.card(False, " "), d.card(False, "-"), d.card(False, "."), f"{n(4)}-{n(2)}-{n(2)} {n(2)}.{n(2)}", f"978-{n(1)}-{n(3)}-{n(5)}-{n(1)}", f"{n(3)}.{n(3)}.{n(3)}.{n(3)}", f"{n(2)} {n(3)} {n(4)} {n(5)}"],
-        ("phone", 1): [f"({n(3)}) {n(3)}-{n(4)}", f"{d.number(2, 9)}{n(2)}-{n(3)}-{n(4)}", f"00{d.number(30, 49)} {n(2)} {n(7)}", f"0{n(2)} {n(3)} {n(4)}", f"0{n(3)}/{n(6)}", f"0{n(1)} {n(2)} {n(2)} {n(2)} {n(2)}"],
-        ("phone", 0): [n(7), n(8), n(10), n(14), d.card(), d.card(False), d.card(False, " "), f"{d.number(1900, 2030)}-{d.number(10, 12)}-{d.number(10, 28)}", f"{d.number(10, 28)}.{d.number(10, 12)}.{d.number(1900, 2030)}", f"{n(1)}.{n(3)}.{n(3)}",
+        ("card", 0): [n(12), d.card(False), d.card(False, " "), d.card(False, "-"), d.card(False, "."), f"{n(4)}-{n(2)}-{n(2)} {n(2)}.{n(2)}",
+            f"978-{n(1)}-{n(3)}-{n(5)}-{n(1)}", f"{n(3)}.{n(3)}.{n(3)}.{n(3)}", f"{n(2)} {n(3)} {n(4)} {n(5)}"],
+        ("phone", 1): [f"({n(3)}) {n(3)}-{n(4)}", f"{d.number(2, 9)}{n(2)}-{n(3)}-{n(4)}", f"00{d.number(30, 49)} {n(2)} {n(7)}",
+            f"0{n(2)} {n(3)} {n(4)}", f"0{n(3)}/{n(6)}", f"0{n(1)} {n(2)} {n(2)} {n(2)} {n(2)}"],
+        ("phone", 0): [n(7), n(8), n(10), n(14), d.card(), d.card(False), d.card(False, " "),
+            f"{d.number(1900, 2030)}-{d.number(10, 12)}-{d.number(10, 28)}", f"{d.number(10, 28)}.{d.number(10, 12)}.{d.number(1900, 2030)}",
+            f"{n(1)}.{n(3)}.{n(3)}",
                        f"{n(2)}.{n(6)}", f"{d.number(1900, 2030)}-{d.number(1900, 2030)}", d.bytes("."), " ".join(n(1) for _ in range(7)), f"{n(3)} {n(3)} {n(3)}", f"{n(4)} {n(4)}", f"{n(2)}/{n(2)}/{d.number(1900, 2030)}"],
     }
 
@@ -179,18 +187,22 @@ def _calibrated(d: _Draw) -> dict:
     """Other templates, for the thresholds."""
     w, n = d.word, d.digits
     return {
-        ("email", 1): [f"{w()}_{w()}[at]{w()}[dot]{w()}", f"{w()} (at) {w()}.{w()}.org", f"{w()}-{w()} at {w()} dot co dot uk", f"{w()} {{at}} {w()}.de", f"{w()}.{w()} AT {w()} DOT edu"],
+        ("email", 1): [f"{w()}_{w()}[at]{w()}[dot]{w()}", f"{w()} (at) {w()}.{w()}.org", f"{w()}-{w()} at {w()} dot co dot uk",
+            f"{w()} {{at}} {w()}.de", f"{w()}.{w()} AT {w()} DOT edu"],
         ("email", 0): [f"{w()} at {w()}.\n{w()}", f"{w()} at {w()}-{w()}. {w()}", f"{w()} at {w()}.{w()}.{w()}", f"{w()}. {w()} at {w()}. {w()}"],
         ("ip", 1): [f"fe80::{d.hexes(4)}", f"{d.hexes(4)}::{d.hexes(2)}", d.bytes("(.)"), d.bytes(" . ", 199)],
         ("ip", 0): [f"{d.number(10, 23)}:{d.number(10, 59)}:{d.number(10, 59)}", f"{n(1)}:{n(2)}:{n(1)}", d.bytes(". ", 99), f"{n(3)}:{n(2)}:{n(3)}"],
         ("card", 1): [d.card(sep="_"), d.card(sep=". "), d.card(sep="--"), d.card(sep="/ ")],
         ("card", 0): [d.card(False), d.card(False, "_"), n(13), f"{n(4)} {n(4)} {n(4)}", f"{n(5)}-{n(5)}-{n(5)}", f"{n(2)}.{n(2)}.{n(4)} {n(2)}.{n(2)}"],
-        ("phone", 1): [f"({n(3)}){n(3)} {n(4)}", f"{d.number(2, 9)}{n(2)}.{n(3)}.{n(4)}", f"00 {d.number(30, 49)} {n(3)} {n(6)}", f"0{n(3)} {n(3)} {n(3)}", f"0{n(2)}/{n(7)}"],
-        ("phone", 0): [n(9), n(11), f"{n(6)}-{n(2)}", f"{d.number(10, 28)}/{d.number(10, 12)}/{d.number(1900, 2030)}", f"{n(1)}.{n(3)}.{n(3)}.{n(3)}", f"{n(2)} {n(2)} {n(2)} {n(2)}", d.bytes("."), d.card(False), f"{d.number(1000, 9999)} {d.number(1900, 2030)}"],
+        ("phone", 1): [f"({n(3)}){n(3)} {n(4)}", f"{d.number(2, 9)}{n(2)}.{n(3)}.{n(4)}", f"00 {d.number(30, 49)} {n(3)} {n(6)}",
+            f"0{n(3)} {n(3)} {n(3)}", f"0{n(2)}/{n(7)}"],
+        ("phone", 0): [n(9), n(11), f"{n(6)}-{n(2)}", f"{d.number(10, 28)}/{d.number(10, 12)}/{d.number(1900, 2030)}", f"{n(1)}.{n(3)}.{n(3)}.{n(3)}",
+            f"{n(2)} {n(2)} {n(2)} {n(2)}", d.bytes("."), d.card(False), f"{d.number(1000, 9999)} {d.number(1900, 2030)}"],
     }
 
 
-def _drawn(n: int, seed: int, templates=_trained, syllables=("ta", "ren", "sol", "mi", "ka", "de", "un", "ver", "lo")) -> tuple[list[tuple[str, str, int, int]], list[int]]:
+def _drawn(n: int, seed: int, templates=_trained, syllables=("ta", "ren", "sol", "mi", "ka", "de", "un", "ver", "lo")) -> tuple[list[tuple[str, str,
+    int, int]], list[int]]:
     """Labelled examples: (text, kind, start, end), 1 if the span is personal data of that kind."""
     d = _Draw(seed, syllables)
     spans, labels = [], []

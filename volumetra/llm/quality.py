@@ -47,8 +47,10 @@ def repeated_words(words: Column, width: int = 5) -> Column:
     def covered(w: Column) -> Column:
         pairs = F.array_sort(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         same = lambda s, i, j: (j >= 0) & (j < F.size(s)) & (F.get(s, i)["h"] == F.get(s, j)["h"])
-        at = lambda s: F.array_sort(F.transform(F.filter(F.transform(s, lambda p, i: F.struct(p["i"].alias("i"), (same(s, i, i - 1) | same(s, i, i + 1)).alias("twice"))), lambda p: p["twice"]), lambda p: p["i"]))
-        width_sum = lambda a: F.aggregate(F.transform(a, lambda x, i: F.when(i + 1 < F.size(a), F.least(F.lit(width), F.get(a, i + 1) - x)).otherwise(width)), F.lit(0), lambda s, x: s + x)
+        at = lambda s: F.array_sort(F.transform(F.filter(F.transform(s, lambda p, i: F.struct(p["i"].alias("i"), (same(s, i, i - 1) | same(s, i,
+            i + 1)).alias("twice"))), lambda p: p["twice"]), lambda p: p["i"]))
+        width_sum = lambda a: F.aggregate(F.transform(a, lambda x, i: F.when(i + 1 < F.size(a), F.least(F.lit(width), F.get(a,
+            i + 1) - x)).otherwise(width)), F.lit(0), lambda s, x: s + x)
         return F.element_at(F.transform(F.transform(one(pairs), at), width_sum), 1)
 
     count = lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(covered(w))

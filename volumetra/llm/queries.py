@@ -59,7 +59,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_decontamination, op4_sharding, op5_near_duplicates, op6_quality, op7_toxicity, op8_html_text, op9_token_ids, op10_repeated_passages, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_decontamination, op4_sharding, op5_near_duplicates, op6_quality, op7_toxicity,
+    op8_html_text, op9_token_ids, op10_repeated_passages, pipeline)}
 
 _SIZED = r"""
 SELECT doc_id, coalesce('=' || source, '') AS sk, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents

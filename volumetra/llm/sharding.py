@@ -6,7 +6,8 @@ numbers that fall outside 0 .. n-1 walk on through the permutation until they ar
 Position p lies in shard p mod s at slot p div s: both are computable from the number, and shard counts are at most one apart.
 
 Defined results: a null text counts as no bytes and as the checksum of no bytes; null ids come last; rows
-equal in id, size and checksum are interchangeable and still get different slots; an empty table gives no rows.
+equal in id, size and checksum are interchangeable and still get different slots; texts of any length are measured whole; columns other than id and text are not
+read, so their names don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -78,11 +79,13 @@ def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
 def shard(docs: DataFrame, shards: int = 8, seed: int = 20, id_col="doc_id", text_col="text") -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null under this law)."""
     text = text_or_empty(text_col)
-    slim = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("__tie"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("__tie"))
     slim = table(slim, "shard-slim")
     n = slim.count()
     rows = numbered(slim, ["doc_id", "text_crc32", "size", "__tie"])
     rows = permute(rows, "number", n, seed)
     at = F.col("place")
     which = F.pmod(at, F.lit(shards))
-    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), which.cast("int").alias("shard"), _div(at - which, shards).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), which.cast("int").alias("shard"), _div(at - which,
+        shards).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

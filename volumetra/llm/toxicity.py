@@ -2,16 +2,21 @@
 
 The kernel of two words counts their common subsequences of three characters that span at most ``SPAN`` places, each gap
 costing a factor ``DECAY``, so an insult with inserted or replaced characters stays close to the plain one.
-Training is by multiple instances: a labelled text, taken as the bag of its words, says that a toxic bag holds words that mark it and a clean one none. Round after round the marks
+Training is by multiple instances: a labelled text, taken as the bag of its words, says that a toxic bag holds words that mark it and a clean one
+none. Round after round the marks
 of the toxic bags are taken anew by the machine of the round before (at first by how often words occur in toxic and clean bags), and every word of a clean bag that
-comes too near joins the negative side, until the working set is that of all words. Nyström features come from a few landmark words; on them a linear support vector machine (squared hinge,
+comes too near joins the negative side, until the working set is that of all words. Nyström features come from a few landmark words; on them a linear
+support vector machine (squared hinge,
 Newton steps) is trained. As the machine is linear in the kernel with the landmarks, it folds into one
 weight a subsequence, and a word is scored by a sum over its own subsequences. A document's margins are those of its ``TOP`` worst words (runs of
-single characters count as one word). A logistic curve over them makes a score; it is fitted on bags that its machine was not trained on, weighted to the true share of toxic ones.
+single characters count as one word). A logistic curve over them makes a score; it is fitted on bags that its machine was not trained on, weighted to
+the true share of toxic ones.
 
-The classifier is fitted on at most ``SAMPLE`` toxic and as many clean labelled documents, chosen by a hash of the id; no other bound is set. Everything else sees whole texts.
+The classifier is fitted on at most ``SAMPLE`` toxic and as many clean labelled documents, chosen by a hash of the id; no other bound is set.
+Everything else sees whole texts.
 
-Defined results: null and empty texts get the score of the lowest margins; null ids or labels take no part in training; of rows with one id the least text trains; equal texts score alike; texts and words of any length are
+Defined results: null and empty texts get the score of the lowest margins; null ids or labels take no part in training; of rows with one id the least
+text trains; equal texts score alike; texts and words of any length are
 scored whole; other columns are carried but not read, whatever their names; without toxic or without clean training
 documents every score is 0; an empty table gives no rows.
 """
