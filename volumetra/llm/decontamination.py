@@ -2,22 +2,20 @@
 
 Words are runs of letters and digits in lower case. The grams of a test item are its runs of two and of ``SEED`` words. One pass over the documents
 counts in how many of them each gram occurs. The seeds of an item are its rare grams: those in at most ``RARE`` times as many documents as the
-median of the item's own ``SEED``-grams (so an item that leaked into a large part of the corpus keeps its seeds), in at most ``SHARE`` of the documents (a tenth of that
-for two words), or in at most ``FEW``. A second pass keeps the documents that hold a seed, with the places; these are joined to the seeds and so to
-the items, and the item
+median of the item's own ``SEED``-grams (so an item that leaked into a large part of the corpus keeps its seeds), in at most ``SHARE`` of the
+documents (a tenth of that for two words), or in at most ``FEW``. A second pass lists where documents hold seeds; these places are joined to the
+seeds and so to the items. A document that holds ``ENOUGH`` different seeds of an item (one, if the item has up to twice ``SEED`` words) is fetched, and the item
 is aligned, word by word, with the stretches of the document around its seeds, so an edited or paraphrased copy still scores.
 A document is contaminated by an item if the alignment reaches ``LEAST`` of the score of a full match.
 
 Nothing of benchmark or corpus is gathered on the driver but a bitmap of gram hashes of at most ``2**MOST_BITS`` bits, which both passes
-use as a filter; what it lets through in error the joins on whole hashes remove. Counts, seeds and items are tables that the planner broadcasts if
-they are small and shuffles else. Equal
-texts are aligned once.
-
-Defined results: null documents and items count as empty; items without a word match nothing; items of up to ``SEED`` words must occur as they are,
-and only count if they occur in
-so few documents as above (an item "yes" condemns nothing); repeated items give rows of their own, equal texts equal rows; null ids stay null; texts
-of any length are searched and aligned whole;
-columns with other names than the four given are carried but not read; empty tables give no contaminated document.
+use as a filter; what it lets through in error the joins on whole hashes remove. Counts, seeds, places and items are tables that the planner
+broadcasts if they are small and shuffles else; texts are only moved for documents that are aligned. Equal texts are aligned once.
+
+Defined results: null documents and items count as empty; items without a word match nothing; items of up to ``SEED`` words must occur as they
+are, and only count if they occur in so few documents as above (an item "yes" condemns nothing); repeated items give rows of their own, equal
+texts equal rows; null ids stay null; texts of any length are searched and aligned whole; columns with other names than the four given are
+carried but not read; empty tables give no contaminated document.
 """
 
 from __future__ import annotations
@@ -34,7 +32,7 @@ from volumetra.llm import wordhash as wh
 from volumetra.llm.common import lean, scratch, table, text_or_empty
 
 U = np.uint64
-SEED, RARE, SHARE, FEW, LEAST = 3, 4.0, 0.001, 5, 0.5
+SEED, RARE, SHARE, FEW, ENOUGH, LEAST = 3, 4.0, 0.001, 5, 2, 0.5
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 LEAST_BITS, MOST_BITS = 16, 29
 
@@ -210,40 +208,34 @@ def _matches(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = plain(b.column(1))
-            for i, j, found in _grams(text, widths):
+            for i, j, found in _grams(plain(b.column(1)), widths):
                 rows, grams_, places = [], [], []
                 for _, gram, row, place in found:
                     ok = let.value(gram)
                     rows.append(row[ok])
                     grams_.append(gram[ok])
                     places.append(place[ok])
-                rows, grams_, places = np.concatenate(rows), np.concatenate(grams_), np.concatenate(places)
-                order = np.argsort(rows, kind="stable")
-                own, at = np.unique(rows[order], return_index=True)
-                if len(own):
-                    offsets = pa.array(np.append(at, len(rows)).astype(np.int32))
-                    lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (grams_.astype(np.int64), places.astype(np.int32))]
-                    take = pa.array(i + own)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(take), text.take(take), *lists], names=["name", "words", "grams", "places"])
-
-    held_by = docs.select(name(text_col).alias("name"), text_or_empty(text_col).alias("text")).mapInArrow(lean(run),
-        "name binary, words string, grams array<long>, places array<int>")
-    found = table(held_by.groupBy("name").agg(*[F.first(c).alias(c) for c in ("words", "grams", "places")]), "leak-found")
-    spots = found.select("name", F.explode(F.arrays_zip("grams", "places")).alias("x")).select("name", F.col("x.grams").alias("gram"), F.col("x.places").alias("place"))
-    spots = spots.join(seeds, "gram").groupBy("name", "iid").agg(F.collect_set(F.col("place") - F.col("pos")).alias("starts"))
-    pairs = spots.join(items.select("iid", "item_id", F.col("words").alias("item")), "iid")
-    pairs = pairs.groupBy("name").agg(F.collect_list(F.struct("item_id", "item", "starts")).alias("items"))  # one text's items
-    both = found.select("name", "words").join(pairs, "name").select("name", "words", "items")
+                take = b.column(0).take(pa.array(i + np.concatenate(rows)))
+                columns = [pa.array(np.concatenate(x).astype(kind_)) for x, kind_ in ((grams_, np.int64), (places, np.int32))]
+                yield pa.RecordBatch.from_arrays([take, *columns], names=["name", "gram", "place"])
+
+    named = docs.select(name(text_col).alias("name"), text_or_empty(text_col).alias("text"))
+    spots = named.mapInArrow(lean(run), "name binary, gram long, place int").distinct().join(seeds, "gram")
+    spots = spots.groupBy("name", "iid").agg(F.collect_set(F.col("place") - F.col("pos")).alias("starts"), F.collect_set("gram").alias("grams"))  # one text, one item
+    pairs = spots.join(items.select("iid", "item_id", "n", F.col("words").alias("item")), "iid")
+    pairs = pairs.where(F.size("grams") >= F.when(F.col("n") > 2 * SEED, ENOUGH).otherwise(1))
+    pairs = table(pairs.groupBy("name").agg(F.collect_list(F.struct("item_id", "item", "starts")).alias("items")), "leak-pairs")  # one text's items
+    texts = named.join(pairs.select("name"), "name", "left_semi").groupBy("name").agg(F.first("text").alias("text"))
+    both = texts.join(pairs, "name").select("name", "text", "items")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = None
         for b in batches:
             schema = schema or pa.schema([("name", pa.binary()), ("item_id", b.schema.field("items").type.value_type.field("item_id").type), ("score",
                 pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
-            rows = []
+            rows, words = [], plain(b.column(1))
             for k in range(b.num_rows):
-                document = b.column(1)[k].as_py().split(" ")
+                document = words[k].as_py().split(" ")
                 for x in b.column(2)[k].as_py():
                     got = best_copy(x["item"].split(" "), document, x["starts"], least)
                     if got:

@@ -3,9 +3,9 @@
 The kernel of two words counts their common subsequences of three characters that span at most ``SPAN`` places, each gap
 costing a factor ``DECAY``, so an insult with inserted or replaced characters stays close to the plain one.
 Training is by multiple instances: a labelled text, taken as the bag of its words, says that a toxic bag holds words that mark it and a clean one
-none. Round after round the marks
+none. Round after round, at most ``ROUNDS`` of them, the marks
 of the toxic bags are taken anew by the machine of the round before (at first by how often words occur in toxic and clean bags), and every word of a clean bag that
-comes too near joins the negative side, until the working set is that of all words. Nyström features come from a few landmark words; on them a linear
+comes too near joins the negative side, so that the working set tends to that of all words. Nyström features come from a few landmark words; on them a linear
 support vector machine (squared hinge,
 Newton steps) is trained. As the machine is linear in the kernel with the landmarks, it folds into one
 weight a subsequence, and a word is scored by a sum over its own subsequences. A document's margins are those of its ``TOP`` worst words (runs of
