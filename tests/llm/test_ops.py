@@ -836,3 +836,24 @@ def test_empty_tables(none, spark):
     for df in (mixing.mix(none), mixing.take(none), sharding.shard(none), quality.judge(none), neardup.near_duplicates(none), neardup.keep_one(none), passages.repeated_passages(none), decontamination.contaminated(none, bench), decontamination.clean(none, bench), pii.detect(none), toxicity.score(none, labels), html.extract(pages), tokenids.encode_and_read(none, tokenids.tokenizer_path())):
         assert df.count() == 0
     assert entities.unescape("&amp;") == "&"
+
+
+def test_tables_on_the_way_are_deleted(spark, docs):
+    from volumetra.llm.common import scratch, shared_dir, table
+
+    folder = shared_dir(spark).removeprefix("file://") + "/volumetra"
+    there = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    before = there()
+    neardup.near_duplicates(docs)
+    assert sorted(x.rsplit("-", 1)[0] for x in there() - before) == ["nd-classes", "nd-signs"]
+    before = there()
+    passages.repeated_passages(docs)
+    assert sorted(x.rsplit("-", 1)[0] for x in there() - before) == ["pw-checked", "pw-names", "pw-rows", "pw-spans"]
+    before = there()
+    with scratch(spark) as keep:
+        one = keep(table(spark.range(3), "one"))
+        with scratch(spark) as inner:
+            two = inner(table(spark.range(4), "two"))
+            table(spark.range(5), "three")
+        assert two.count() == 4
+    assert one.count() == 3 and sorted(x.rsplit("-", 1)[0] for x in there() - before) == ["one"]
