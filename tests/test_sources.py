@@ -137,3 +137,31 @@ def test_streamed_summaries_equal_those_of_the_table(spark, tmp_path):
     last = got.agg(F.max("start")).first()[0]
     rows = lambda df: sorted((r["participant"], r["start"], r["n"], r["missing"], None if r["mean"] is None else round(r["mean"], 6)) for r in df.where(F.col("start") <= F.lit(last)).collect())
     assert rows(got) == rows(want) and len(rows(got)) > 100
+
+
+def test_images_to_participants(spark, tmp_path):
+    from volumetra.operators import preprocess
+    from volumetra.sources import masks
+
+    rng = np.random.default_rng(3)
+    shape = (10, 4, 4)
+    eye = np.zeros(shape, dtype=np.float32)
+    eye[0:3, :3, :3] = eye[6:10, :3, :3] = 1
+    (tmp_path / "template.nii").write_bytes(nifti.encode(eye[..., None]))
+    (tmp_path / "mask.nii").write_bytes(nifti.encode(eye[..., None]))
+    for p in ("p01", "p02"):
+        (tmp_path / "images" / p).mkdir(parents=True)
+        for run in ("a", "b"):
+            v = eye[..., None] * (5 + rng.random((*shape, 6)))
+            (tmp_path / "images" / p / f"{run}.nii").write_bytes(nifti.encode(v.astype(np.float32)))
+    mask, _ = masks.mask(masks.scan_masks(spark, str(tmp_path / "mask.nii")), "mask")
+    template = nifti.scan(spark, str(tmp_path / "template.nii"))
+    eyes, box = preprocess.eyes(nifti.scan(spark, str(tmp_path / "images")), template, mask, shape)
+    assert box == (9, 2, 2)
+    volumes = preprocess.participants(eyes, "d")
+    rows = volumes.collect()
+    assert {(r["participant"], r["run"], r["tr"]) for r in rows} == {(p, k, t) for p in ("p01", "p02") for k in (0, 1) for t in range(6)}
+    assert all(len(r["voxels"]) == 36 and max(map(abs, r["voxels"])) < 10 for r in rows) and any(any(r["voxels"]) for r in rows)
+    labels = spark.createDataFrame([("d", "p01", 0, t, s, 1.0, 2.0) for t in range(6) for s in range(2)], "dataset string, participant string, run int, tr long, sub int, x double, y double")
+    archives.write_participants(volumes, labels, str(tmp_path / "out"))
+    assert archives.read_participants(spark, str(tmp_path / "out")).count() == 6

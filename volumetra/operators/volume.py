@@ -59,8 +59,8 @@ def edges(mask: DataFrame) -> DataFrame:
     return box.join(planes.select(F.array_max(gaps)["mid"].alias("gap_mid")))  # one row each
 
 
-def cut_eyes(g: DataFrame, mask: DataFrame, value: float = 0.0) -> DataFrame:
-    """The two eyes of a grid (tr, x, y, z, v): outside the mask ``value``, cropped to the mask's box, the half from its gap on first, then the half before it.
+def cut_eyes(g: DataFrame, mask: DataFrame, value: float = 0.0, keys: tuple[str, ...] = ("tr",)) -> DataFrame:
+    """The two eyes of a grid (keys, x, y, z, v): outside the mask ``value``, cropped to the mask's box, the half from its gap on first, then the half before it.
 
     Boxes are half-open, as in ``crop``: the last plane of each axis goes. The mask and its edges are small tables, which the planner broadcasts.
     """
@@ -69,8 +69,8 @@ def cut_eyes(g: DataFrame, mask: DataFrame, value: float = 0.0) -> DataFrame:
     inside = (c("y") >= c("y_min")) & (c("y") < c("y_max")) & (c("z") >= c("z_min")) & (c("z") < c("z_max")) & (c("x") >= c("x_min")) & (c("x") < c("x_max"))
     cut = fill_outside(g, mask, value).join(F.broadcast(e)).where(inside)  # one row
     right = c("x") >= c("part")
-    return cut.select("tr", F.when(right, c("x") - c("part")).otherwise(c("x") - c("x_min") + c("x_max") - c("part")).alias("x"),
-        (c("y") - c("y_min")).alias("y"), (c("z") - c("z_min")).alias("z"), "v")
+    x = F.when(right, c("x") - c("part")).otherwise(c("x") - c("x_min") + c("x_max") - c("part"))
+    return cut.select(*keys, x.alias("x"), (c("y") - c("y_min")).alias("y"), (c("z") - c("z_min")).alias("z"), "v")
 
 
 def voxel_report(g: DataFrame, at: tuple[int, int, int], bins: int = 75) -> DataFrame:
@@ -83,8 +83,10 @@ def voxel_report(g: DataFrame, at: tuple[int, int, int], bins: int = 75) -> Data
         parts.append(cube.where(F.col(axis) == k).select(F.lit(f"slice {axis}").alias("part"), F.col(a).alias("a"), F.col(b).alias("b"),
             safe_div(F.col("s"), F.col("n")).alias("v")))
         parts.append(cube.groupBy(F.lit(f"mean {axis}").alias("part"), F.col(a).alias("a"), F.col(b).alias("b")).agg(safe_div(F.sum("s"), F.sum("n")).alias("v")))
-    course = minmax_course(g.withColumn("run", F.lit(0)))
-    parts.append(course.select(F.lit("course").alias("part"), F.col("tr").alias("a"), none.alias("b"), "v"))
+    course = g.groupBy("tr").agg(F.avg("v").alias("m"))
+    ends = F.broadcast(course.agg(F.min("m").alias("low"), F.max("m").alias("high")))  # one row
+    scaled = safe_div(F.col("m") - F.col("low"), F.col("high") - F.col("low")).alias("v")
+    parts.append(course.join(ends).select(F.lit("course").alias("part"), F.col("tr").alias("a"), none.alias("b"), scaled))
     positive = g.where("v > 0").select("v")
     bounds = positive.agg(F.min("v").alias("lo"), ((F.max("v") - F.min("v")) / bins).alias("w"))  # one row
     counted = positive.join(F.broadcast(bounds)).groupBy(F.least(F.floor(safe_div(F.col("v") - F.col("lo"), F.col("w"))),
