@@ -197,7 +197,14 @@ def long_form(volumes: DataFrame, shape: Shape, keys: Sequence[str] = ("tr",), v
 
 
 def pack(grid: DataFrame, shape: Shape, keys: Sequence[str] = ("tr",), fill: float = 0.0) -> DataFrame:
-    """keys, voxels from rows keys, x, y, z, v; voxels that no row has get ``fill``. One exchange by the keys."""
+    """keys, voxels from rows keys, x, y, z, v; voxels that no row has, or only null, get ``fill``. One exchange by the keys.
+
+    The cells of a volume and one filler for each of its places are sorted once; the first of each place counts.
+    """
     _, ny, nz = shape
-    cells = grid.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct((F.col("x") * (ny * nz) + F.col("y") * nz + F.col("z")).cast("int"), "v"))).alias("m"))
-    return cells.select(*keys, _each(size(shape), lambda i: F.coalesce(F.element_at("m", i), F.lit(fill))).alias("voxels"))
+    number = (F.col("x") * (ny * nz) + F.col("y") * nz + F.col("z")).cast("int")
+    cells = grid.groupBy(*keys).agg(F.collect_list(F.when(F.col("v").isNotNull(), F.struct(number.alias("i"), F.lit(0).alias("k"), F.col("v").cast("double").alias("v")))).alias("own"))
+    fillers = F.transform(F.sequence(F.lit(0), F.lit(size(shape) - 1)), lambda i: F.struct(i.alias("i"), F.lit(1).alias("k"), F.lit(float(fill)).alias("v")))
+    first = lambda a: F.filter(a, lambda c, j: (j == 0) | (F.get(a, j - 1)["i"] != c["i"]))
+    inside = F.filter(F.concat("own", fillers), lambda c: (c["i"] >= 0) & (c["i"] < size(shape)))
+    return cells.select(*keys, _let(F.sort_array(inside), lambda a: F.transform(first(a), lambda c: c["v"])).alias("voxels"))

@@ -8,10 +8,12 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volumetra.operators import metrics
+from volumetra.operators import batches, metrics
 
 
 class Predictor(Protocol):
@@ -62,28 +64,70 @@ def run(volumes: DataFrame, model: Predictor, batch: int = 1024, keys: tuple[str
     return volumes.select(*keys, "voxels").mapInPandas(predict, schema)
 
 
-def fit(rows: DataFrame, voxels: int, outputs: int, ridge: float = 1.0) -> LinearReadout:
-    """Ridge regression of ``target`` (array) on ``voxels`` (array): each batch gives its sums of products, which are added up, so what reaches the driver
-    has the size of the model's square, not of the data. Rows with a missing target are left out."""
-    d = voxels + 1
+#: Numbers of a matrix that each task may send: with more voxels the fit goes by steps.
+MOST_PRODUCTS = 1 << 22
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((d, d + outputs))
-        for p in batches:
-            if len(p):
-                x = np.hstack([np.nan_to_num(np.stack(p["voxels"].to_numpy()).astype(float)), np.ones((len(p), 1))])
-                y = np.stack(p["target"].to_numpy()).astype(float)
-                good = np.isfinite(y).all(axis=1)
-                total += x[good].T @ np.hstack([x[good], y[good]])
-        yield pd.DataFrame({"at": np.arange(total.size), "s": total.ravel()})
-
-    added = rows.select("voxels", "target").mapInPandas(sums, "at long, s double").groupBy("at").agg(F.sum("s").alias("s")).toPandas()
-    total = np.zeros(d * (d + outputs))
-    total[added["at"]] = added["s"]
-    total = total.reshape(d, d + outputs)
-    pull = np.eye(d) * ridge
-    pull[-1, -1] = 1e-9  # the constant is free
-    w = np.linalg.solve(total[:, :d] + pull, total[:, d:])
+
+def _added(rows: DataFrame, product, width: int) -> np.ndarray:
+    """The sum over all rows of ``product(voxels with a constant, targets)``, an array with rows of ``width``: a task adds up its rows, and one exchange by row of the array adds up the tasks."""
+
+    def sums(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for part, x in batches.blocks(parts, "voxels"):
+            y = batches.block(part.column("target"))
+            good = np.isfinite(y).all(axis=1)
+            x = np.hstack([np.nan_to_num(x[good]), np.ones((int(good.sum()), 1))])
+            own = product(x, y[good])
+            total = own if total is None else total + own
+        if total is not None:
+            for i in range(0, len(total), 256):
+                at = np.arange(i, min(i + 256, len(total)), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(at), batches.arrays(total[at])], names=["at", "s"])
+
+    def one(t: pa.Table) -> pa.Table:
+        s = sum(np.array(v.values) for v in t["s"])
+        return pa.table({"at": t["at"][:1], "s": batches.arrays(s[None, :])})
+
+    made = rows.where("target IS NOT NULL").mapInArrow(sums, "at long, s array<double>").groupBy("at").applyInArrow(one, "at long, s array<double>").toPandas().sort_values("at")
+    return np.stack(made["s"].to_numpy()).reshape(-1, width) if len(made) else np.zeros((0, width))
+
+
+def fit(rows: DataFrame, voxels: int, outputs: int, ridge: float = 1.0, steps: int = 60, close: float = 1e-8) -> LinearReadout:
+    """Ridge regression of ``target`` (array) on ``voxels`` (array). Rows with a missing target are left out.
+
+    With few voxels each task sends its sums of products and the equations are solved here. With more, the same equations are solved by conjugate gradients, in which a task only sends
+    sums of the model's own size, step after step; ``close``: the residual, as a share of the first, at which they end.
+    """
+    d, rows = voxels + 1, rows.select("voxels", "target")
+    pull = np.full((d, 1), ridge)
+    pull[-1] = 1e-9  # the constant is free
+    if d * (d + outputs) <= MOST_PRODUCTS:
+        total = _added(rows, lambda x, y: x.T @ np.hstack([x, y]), d + outputs)
+        if not len(total):
+            return LinearReadout(np.zeros((voxels, outputs)), np.zeros(outputs))
+        w = np.linalg.solve(total[:, :d] + np.diag(pull.ravel()), total[:, d:])
+        return LinearReadout(w[:-1], w[-1])
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    sc = rows.sparkSession.sparkContext
+    try:
+        left = _added(rows, lambda x, y: x.T @ y, outputs)
+        w = np.zeros((d, outputs))
+        if not len(left):
+            return LinearReadout(w[:-1], w[-1])
+        way, size = left.copy(), (left * left).sum(axis=0)
+        first = size.copy()
+        for _ in range(steps):
+            if (size <= close**2 * first).all():
+                break
+            sent = sc.broadcast(way)  # the size of the model
+            bent = _added(rows, lambda x, y: x.T @ (x @ sent.value), outputs) + pull * way
+            far = np.divide(size, (way * bent).sum(axis=0), out=np.zeros_like(size), where=size > 0)
+            w, left = w + far * way, left - far * bent
+            new = (left * left).sum(axis=0)
+            way, size = left + np.divide(new, size, out=np.zeros_like(new), where=size > 0) * way, new
+            sent.unpersist()
+    finally:
+        rows.unpersist()
     return LinearReadout(w[:-1], w[-1])
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volumetra.operators import packed, predict, register, volume
+from volumetra.operators import batches, network, packed, predict, register, volume
 from volumetra.plans.registry import C, V, query, rounded
 from volumetra.sources.tables import grid, packed_volumes
 
@@ -18,6 +19,24 @@ def _long(spark: SparkSession, sf_dir: str, made: Column, shape=SHAPE, digits: i
     return packed.long_form(v, shape).withColumn("v", F.round("v", digits))
 
 
+def _run(spark: SparkSession, sf_dir: str, layers: list[network.Layer], weights: dict) -> DataFrame:
+    """(tr, voxels): a network in doubles over the packed volumes."""
+    return network.run(packed_volumes(spark, sf_dir), network.Network(layers, weights, SHAPE, np.float64))
+
+
+def _long_run(spark: SparkSession, sf_dir: str, layers: list[network.Layer], weights: dict, shape=SHAPE, digits: int = 6) -> DataFrame:
+    return packed.long_form(_run(spark, sf_dir, layers, weights), shape).withColumn("v", F.round("v", digits))
+
+
+def _kernel(weights: list[list[float]], bias: float = 0.0) -> dict:
+    """One output channel from 27 weights for each input channel."""
+    k = np.array(weights, float)
+    return {"kernel": k.T.reshape(3, 3, 3, len(k), 1), "bias": np.array([bias])}
+
+
+_CONV = ("conv", {"kernel": 3, "filters": 1})
+
+
 def _remapped(size: int, x: str, y: str, z: str) -> str:
     return f"""WITH {C},
     t AS (SELECT tr, i // {size * size} AS x, (i // {size}) % {size} AS y, i % {size} AS z FROM (SELECT DISTINCT tr FROM c), (SELECT unnest(range(0, {size**3})) AS i))
@@ -104,13 +123,13 @@ def _augmented() -> str:
 @query(_augmented())
 def augment_each(spark, sf_dir):
     """Turned about three axes, moved and zoomed, with parameters drawn from each volume's key."""
-    v = packed.augment(packed_volumes(spark, sf_dir), SHAPE, 20, 1, 30)
+    v = batches.augment(packed_volumes(spark, sf_dir), SHAPE, 20, 1, 30)
     return rounded(packed.long_form(v, SHAPE))
 
 
 @query(f"WITH {C} SELECT tr, x // 2 AS x, y // 2 AS y, z // 2 AS z, round(avg(v), 6) AS v FROM c GROUP BY 1, 2, 3, 4")
 def avg_pool(spark, sf_dir):
-    return _long(spark, sf_dir, packed.pool(F.col("voxels"), SHAPE), (2, 2, 2))
+    return _long_run(spark, sf_dir, network.chain(("pool", {"by": 2})), {}, (2, 2, 2))
 
 
 @query(
@@ -119,7 +138,7 @@ def avg_pool(spark, sf_dir):
 )
 def conv_small(spark, sf_dir):
     """A box kernel."""
-    return _long(spark, sf_dir, packed.convolve([F.col("voxels")], SHAPE, [[1.0] * 27]), digits=5)
+    return _long_run(spark, sf_dir, network.chain(_CONV), {"conv0": _kernel([[1.0] * 27])}, digits=5)
 
 
 def _weight(i: int, k: int) -> float:
@@ -135,9 +154,8 @@ _W = "((((b.x - a.x + 1) * 9 + (b.y - a.y + 1) * 3 + b.z - a.z + 1) * 5 + {k} *
 )
 def conv_channels(spark, sf_dir):
     """A weighted kernel over two channels, the voxels and their squares, with a bias."""
-    channels = [F.col("voxels"), F.transform("voxels", lambda v: v * v)]
-    made = packed.convolve(channels, SHAPE, [[_weight(i, k) for i in range(27)] for k in range(2)], 0.25)
-    return _long(spark, sf_dir, made, digits=5)
+    layers = [network.Layer("square", "square", ("input",)), network.Layer("both", "join", ("input", "square")), *network.chain(_CONV, start="both")]
+    return _long_run(spark, sf_dir, layers, {"conv0": _kernel([[_weight(i, k) for i in range(27)] for k in range(2)], 0.25)}, digits=5)
 
 
 @query(
@@ -153,7 +171,8 @@ FROM v WINDOW w AS (PARTITION BY tr, vox // 8)"""
 
 
 def _normed(spark: SparkSession, sf_dir: str, gamma=None, beta=None) -> DataFrame:
-    v = packed_volumes(spark, sf_dir).select("tr", F.posexplode(packed.group_norm(F.col("voxels"), 64, 8, gamma, beta)).alias("vox", "v"))
+    parts = {"gamma": np.ones(8) if gamma is None else np.array(gamma), "beta": np.zeros(8) if beta is None else np.array(beta)}
+    v = _run(spark, sf_dir, network.chain(("norm", {"groups": 8})), {"norm0": parts}).select("tr", F.posexplode("voxels").alias("vox", "v"))
     return rounded(v.select("tr", F.col("vox").cast("long").alias("vox"), F.expr("vox div 8").alias("grp"), "v"))
 
 
@@ -204,8 +223,11 @@ _BLOCK = """n{k} AS (SELECT tr, vox, (v - avg(v) OVER w) / sqrt(var_pop(v) OVER
 @query(f"""WITH {V}, {_BLOCK.format(k=0, of="v", w=_W.format(k=0))}, {_BLOCK.format(k=1, of="r0", w=_W.format(k=1))}
     SELECT v.tr, v.vox, round(v.v + r1.v, 5) AS v FROM v JOIN r1 ON v.tr = r1.tr AND v.vox = r1.vox""")
 def residual_block(spark, sf_dir):
-    made = packed.residual(F.col("voxels"), SHAPE, 8, *[[_weight(i, k) for i in range(27)] for k in range(2)])
-    v = packed_volumes(spark, sf_dir).select("tr", F.posexplode(made).alias("vox", "v"))
+    layers = network.chain(*[("norm", {"groups": 8}), ("mish", {}), _CONV] * 2)
+    unit = {"gamma": np.ones(8), "beta": np.zeros(8)}
+    weights = {"norm0": unit, "norm3": unit} | {f"conv{3 * k + 2}": _kernel([[_weight(i, k) for i in range(27)]]) for k in range(2)}
+    out = _run(spark, sf_dir, [*layers, network.Layer("sum", "add", (layers[-1].name, "input"))], weights)
+    v = out.select("tr", F.posexplode("voxels").alias("vox", "v"))
     return v.select("tr", F.col("vox").cast("long").alias("vox"), F.round("v", 5).alias("v"))
 
 
@@ -284,3 +306,54 @@ def register_runs(spark, sf_dir):
 @query(f"WITH {_CENTRES}, l AS (SELECT sqrt(dx ** 2 + dy ** 2 + dz ** 2) AS l FROM d) SELECT round(sum(l), 6) AS total, round(avg(l), 6) AS mean, round(stddev_pop(l), 6) AS std, round(median(l), 6) AS median FROM l")
 def register_statistics(spark, sf_dir):
     return rounded(register.statistics(register.shifts(packed_volumes(spark, sf_dir), _template(spark, sf_dir), SHAPE)))
+
+
+def _turn(r: Column | str):
+    """(angle about z, scale, step along x, y, z) of run ``r``, by arithmetic."""
+    return ((r * 7) % 11 - 5) / 20, 1 + ((r * 3) % 5 - 2) / 20, ((r * 5) % 7 - 3) / 4, ((r * 2) % 5 - 2) / 4, ((r * 4) % 3 - 1) / 4
+
+
+def _transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run, pass, matrix: a similarity about the middle of the grid for each run."""
+    a, s, *by = _turn(F.col("run").cast("double"))
+    rows = [[s * F.cos(a), -s * F.sin(a), F.lit(0.0)], [s * F.sin(a), s * F.cos(a), F.lit(0.0)], [F.lit(0.0), F.lit(0.0), s]]
+    numbers = [c for row, d in zip(rows, by) for c in (*row, d + 1.5 - 1.5 * (row[0] + row[1] + row[2]))]
+    runs = packed_volumes(spark, sf_dir).select("run").distinct()
+    return runs.select("run", F.lit(0).cast("long").alias("pass"), F.array(*[n.cast("double") for n in numbers]).alias("matrix"))
+
+
+_TURN = """k AS (SELECT run, ((run * 7) % 11 - 5) / 20::DOUBLE AS a, 1 + ((run * 3) % 5 - 2) / 20::DOUBLE AS s, ((run * 5) % 7 - 3) / 4::DOUBLE AS dx, ((run * 2) % 5 - 2) / 4::DOUBLE AS dy,
+      ((run * 4) % 3 - 1) / 4::DOUBLE AS dz FROM (SELECT DISTINCT run FROM v)),
+    q AS (SELECT run, s * cos(a) AS c, s * sin(a) AS n, s, dx + 1.5 - 1.5 * (s * cos(a) - s * sin(a)) AS tx, dy + 1.5 - 1.5 * (s * sin(a) + s * cos(a)) AS ty, dz + 1.5 - 1.5 * s AS tz FROM k)"""
+
+
+@query(f"""WITH {C}, {_TURN}, i AS (SELECT DISTINCT run, tr FROM v), g AS (SELECT run, tr, j // 16 AS x, (j // 4) % 4 AS y, j % 4 AS z FROM i, (SELECT unnest(range(0, 64)) AS j)),
+    p AS (SELECT tr, x, y, z, c * x - n * y + tx AS px, n * x + c * y + ty AS py, s * z + tz AS pz FROM g JOIN q USING (run)),
+    e AS (SELECT *, unnest(range(0, 8)) AS k FROM p),
+    w AS (SELECT tr, x, y, z, CAST(floor(px) AS BIGINT) + k // 4 AS cx, CAST(floor(py) AS BIGINT) + (k // 2) % 2 AS cy, CAST(floor(pz) AS BIGINT) + k % 2 AS cz,
+      CASE WHEN k // 4 = 1 THEN px - floor(px) ELSE 1 - px + floor(px) END * CASE WHEN (k // 2) % 2 = 1 THEN py - floor(py) ELSE 1 - py + floor(py) END
+      * CASE WHEN k % 2 = 1 THEN pz - floor(pz) ELSE 1 - pz + floor(pz) END AS w FROM e)
+    SELECT w.tr, w.x, w.y, w.z, round(coalesce(sum(w.w * c.v), 0), 6) AS v FROM w LEFT JOIN c ON c.tr = w.tr AND c.x = w.cx AND c.y = w.cy AND c.z = w.cz GROUP BY ALL""")
+def similarity_resample(spark, sf_dir):
+    """Each volume turned, scaled and moved by its run's transform, with trilinear values. Transforms are a row a run."""
+    v = register.resample(packed_volumes(spark, sf_dir), _transforms(spark, sf_dir), SHAPE)
+    return rounded(packed.long_form(v, SHAPE))
+
+
+@query(f"""WITH {V}, {_TURN}, u AS (SELECT run, unnest([c, -n, 0, tx, n, c, 0, ty, 0, 0, s, tz]) AS m FROM q)
+    SELECT run, CAST(0 AS BIGINT) AS pass, round(sum(m), 6) AS total, round(avg(m), 6) AS mean, round(stddev_pop(m), 6) AS std, round(median(m), 6) AS median FROM u GROUP BY run""")
+def transform_statistics(spark, sf_dir):
+    return rounded(register.transform_statistics(_transforms(spark, sf_dir)))
+
+
+@query(None)
+def register_similarity(spark, sf_dir):
+    """Each run's mean image fitted to one volume by a similarity, in two passes: run, pass, and how well it correlates."""
+    template = np.array(_template(spark, sf_dir).select("voxels").first()[0])
+    return register.similarity(packed_volumes(spark, sf_dir), template, SHAPE, masks=(None, np.ones(64, bool))).select("run", "pass", F.round("correlation", 4).alias("correlation"))
+
+
+@query(f"WITH {C} SELECT tr, x, y, z, round(v, 6) AS v FROM c")
+def packed_again(spark, sf_dir):
+    """Volumes put into long form, packed by one exchange and put into long form again."""
+    return rounded(packed.long_form(packed.pack(grid(spark, sf_dir), SHAPE), SHAPE))
