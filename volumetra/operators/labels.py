@@ -28,12 +28,17 @@ def with_fallback(samples: DataFrame, use_real: bool = True) -> DataFrame:
     return s.select("participant", "run", "tr", "rn", pick("x"), pick("y"), "real")
 
 
+def measured_only(samples: DataFrame) -> DataFrame:
+    """participant, run, tr, rn, x, y: measured positions, without a fallback; those that are missing stay missing."""
+    return samples.select("participant", "run", "tr", "rn", F.col("rx").alias("x"), F.col("ry").alias("y"))
+
+
 def per_tr(samples: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame:
     """participant, run, tr, sub, x, y: k evenly spaced samples of each expected (participant, run, tr); a TR without samples gives k rows of nulls."""
     key = ["participant", "run", "tr"]
     w = Window.partitionBy(*key)
     s = samples.withColumns({"i": F.row_number().over(w.orderBy("rn")) - 1, "n": F.count(F.lit(1)).over(w)})
-    packed = s.groupBy(*key).agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("i", F.struct("x", "y")))).alias("m"))  # one TR's samples
+    packed = s.groupBy(*key).agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("i", "x", "y"))), lambda v: F.struct(v["x"], v["y"])).alias("m"))  # one TR's samples
     out = expected.select(*key).join(packed, key, "left").withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    at = F.element_at("m", F.expr(f"int((sub * (n - 1)) div {k - 1})"))
+    at = F.get("m", F.expr(f"int((sub * (n - 1)) div {k - 1})"))
     return out.withColumn("v", at).select(*key, F.col("sub").cast("long").alias("sub"), F.col("v.x").alias("x"), F.col("v.y").alias("y"))

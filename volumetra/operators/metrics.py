@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from volumetra.functions.scalars import euclid, pearson, r2, strict_median
@@ -75,3 +76,29 @@ def scorecard(p: DataFrame, percent: float = 80, functor: Callable[[Column], Col
     s = both.groupBy("participant", "variant", "granularity").agg(*_scores())
     means = {"r_mean": (F.col("r_x") + F.col("r_y")) / 2, "r2_mean": (F.col("r2_x") + F.col("r2_y")) / 2}
     return s.withColumns(means).select("participant", "variant", "granularity", "r_x", "r_y", "r_mean", "r2_x", "r2_y", "r2_mean", "e_mean", "e_median", "e_std")
+
+
+def register_hook(spark: SparkSession, name: str, one: Callable[[pd.Series], float | None]) -> None:
+    """Make ``one`` an aggregate for SQL and for ``by_tr_hook``: it gets the samples of a group, missing ones as NaN, and gives one number. A group must be small, as that of a TR is."""
+
+    def aggregate(v: pd.Series) -> float:
+        return one(v.astype(float))
+
+    spark.udf.register(name, F.pandas_udf(aggregate, "double"))
+
+
+def trimmed_mean(v: pd.Series) -> float | None:
+    """Without the least and the greatest of three values or more; null if one is missing."""
+    if v.isna().any():
+        return None
+    return float(v.sort_values().iloc[1:-1].mean()) if len(v) > 2 else float(v.mean())
+
+
+def by_tr_hook(p: DataFrame, hook: str) -> DataFrame:
+    """One row a TR with what a registered aggregate makes of its samples. One exchange by participant and TR, in Arrow batches of groups."""
+    return p.groupBy("participant", "tr").agg(*[F.call_function(hook, F.col(c).cast("double")).alias(c) for c in VALUES])
+
+
+def scorecard_by_tr(coarse: DataFrame) -> DataFrame:
+    """participant and the scores of rows by TR (participant, tx, ty, px, py, unc); participants without a whole row have none."""
+    return coarse.where("tx IS NOT NULL AND ty IS NOT NULL").groupBy("participant").agg(*_scores())

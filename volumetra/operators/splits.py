@@ -103,13 +103,17 @@ def mixed_batch(g: DataFrame, slots: int) -> DataFrame:
 
 def batches(g: DataFrame, epochs: int, steps: int, batch: int, mixed: bool = True) -> DataFrame:
     """(epoch, step, slot, participant, rn, x, y): a bounded stream of batches. ``mixed``: each slot draws its participant, else one is drawn a step."""
+    drawn = g.sparkSession.range(epochs * steps * batch).select("id", *[F.expr(e).alias(c) for c, e in (("epoch", f"id div {steps * batch}"), ("step", f"id div {batch} % {steps}"), ("slot", f"id % {batch}"))])
+    return filled(drawn, g, steps, mixed)
+
+
+def filled(slots: DataFrame, g: DataFrame, steps: int, mixed: bool = True) -> DataFrame:
+    """The samples that the slots (id, epoch, step, slot) of batches draw; ``slots`` may be a stream."""
     people = _people(g)
     size = people.agg(F.max("total").alias("m"))
-    drawn = g.sparkSession.range(epochs * steps * batch).withColumns({"step_": F.expr(f"id div {batch}"), "slot": F.expr(f"id % {batch}")})
-    drawn = drawn.join(F.broadcast(size)).withColumn("place", F.expr(f"{mixed_hash('id' if mixed else 'step_')} % m"))  # one row
+    drawn = slots.join(F.broadcast(size)).withColumn("place", F.expr(f"{mixed_hash('id' if mixed else f'(epoch * {steps} + step)')} % m"))  # one row
     at = drawn.join(people.select("place", "participant", "n"), "place").withColumn("rn", F.expr("(id * 104729 + 7) % 99991 % n"))
-    at = at.select(F.expr(f"step_ div {steps}").alias("epoch"), F.expr(f"step_ % {steps}").alias("step"), "slot", "participant", "rn")
-    return _fetch(at, g)
+    return _fetch(at.select("epoch", "step", "slot", "participant", "rn"), g)
 
 
 def own_draws(g: DataFrame, draws: int) -> DataFrame:

@@ -8,17 +8,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from volumetra.functions.scalars import clip, safe_div, whole_div
+from volumetra.operators import exact
 
 
-def normalize(voxels: DataFrame, robust: bool = False, bound: float = 5.0, zero: float = 0.001) -> DataFrame:
+def normalize(voxels: DataFrame, robust: bool = False, bound: float = 5.0, zero: float = 0.001, refined: bool = False) -> DataFrame:
     """Per voxel over time, then per TR over space, clipped at ``bound`` deviations of the run; values near 0 or not finite are missing and end as 0.
 
-    The run's deviation is a sum over partial sums that is joined back, so no task gets a whole run.
+    ``refined``: medians by refinement, for runs of any length, where a window would hold all values of a voxel. The run's deviation is a sum over partial sums that is joined back, so no task gets a whole run.
     """
     finite = ~F.isnan("v") & (F.abs("v") != float("inf"))
     v = voxels.withColumn("n", F.when(finite & (F.abs("v") >= zero), F.col("v")))
     time, space = Window.partitionBy("run", "vox"), Window.partitionBy("run", "tr")
-    if robust:
+    if robust and refined:
+        v = exact.robust_scores(v)
+    elif robust:
         v = v.withColumn("m", F.median("n").over(time)).withColumn("d", F.median(F.abs(F.col("n") - F.col("m"))).over(time))
         v = v.withColumn("n", safe_div(F.col("n") - F.col("m"), F.col("d")))
     else:

@@ -21,11 +21,10 @@ HEADER, OFFSET = 348, 352
 SCHEMA = "path string, tr long, nx int, ny int, nz int, voxels array<float>"
 
 
-class Image:
-    """Shape (x, y, z, t), voxel sizes, affine and lazily decoded volumes of one file's bytes."""
+class Header:
+    """Shape (x, y, z, t), voxel sizes, affine and where the volumes lie, from the first ``HEADER`` bytes of a file."""
 
     def __init__(self, data: bytes):
-        data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
         if len(data) < HEADER:
             raise ValueError(f"{len(data)} bytes are no NIfTI-1 header")
         order = next((o for o in "<>" if struct.unpack_from(f"{o}i", data)[0] == HEADER), None)
@@ -40,32 +39,47 @@ class Image:
         offset, slope, intercept = struct.unpack_from(f"{order}3f", data, 108)
         self.slope, self.intercept = (slope, intercept) if slope else (1.0, 0.0)
         self.affine = np.array(struct.unpack_from(f"{order}12f", data, 280)).reshape(3, 4)
-        self._size = int(np.prod(self.shape[:3]))
         self._type = np.dtype(TYPES[code]).newbyteorder(order)
-        self._data, self._offset = data, int(offset) or OFFSET
-        if len(data) < self._offset + self._size * self.shape[3] * self._type.itemsize:
+        self.offset, self.bytes = int(offset) or OFFSET, int(np.prod(self.shape[:3])) * self._type.itemsize
+
+    def decode(self, raw: bytes) -> np.ndarray:
+        """A volume's bytes as float32, flattened with z fastest, as the grids of this package number their voxels."""
+        cube = np.frombuffer(raw, self._type).astype(np.float64).reshape(self.shape[:3], order="F") * self.slope + self.intercept
+        return cube.astype(np.float32).ravel()
+
+
+class Image(Header):
+    """A whole file's bytes, whose volumes are decoded when asked for."""
+
+    def __init__(self, data: bytes):
+        self._data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+        super().__init__(self._data)
+        if len(self._data) < self.offset + self.bytes * self.shape[3]:
             raise ValueError("the file ends before its last volume")
 
     def volume(self, t: int) -> np.ndarray:
-        """Volume t as float32, flattened with z fastest, as the grids of this package number their voxels."""
-        flat = np.frombuffer(self._data, self._type, self._size, self._offset + t * self._size * self._type.itemsize)
-        cube = flat.astype(np.float64).reshape(self.shape[:3], order="F") * self.slope + self.intercept
-        return cube.astype(np.float32).ravel()
+        at = self.offset + t * self.bytes
+        return self.decode(self._data[at : at + self.bytes])
 
 
-def encode(volumes: np.ndarray, zooms=(1.0, 1.0, 1.0, 1.0), affine: np.ndarray | None = None) -> bytes:
-    """The bytes of a float32 NIfTI-1 file from an array (x, y, z, t)."""
+def encode_header(shape: tuple[int, int, int, int], zooms=(1.0, 1.0, 1.0, 1.0), affine: np.ndarray | None = None) -> bytes:
+    """What a float32 NIfTI-1 file starts with."""
     affine = np.eye(4)[:3] if affine is None else affine
     header = bytearray(OFFSET)
     struct.pack_into("<i", header, 0, HEADER)
-    struct.pack_into("<8h", header, 40, 4, *volumes.shape, 1, 1, 1)
+    struct.pack_into("<8h", header, 40, 4, *shape, 1, 1, 1)
     struct.pack_into("<2h", header, 70, 16, 32)
     struct.pack_into("<8f", header, 76, 1.0, *zooms, 1.0, 1.0, 1.0)
     struct.pack_into("<3f", header, 108, OFFSET, 1.0, 0.0)
     struct.pack_into("<2h", header, 252, 0, 1)
     struct.pack_into("<12f", header, 280, *np.asarray(affine, dtype=float).ravel())
     header[344:348] = b"n+1\0"
-    return bytes(header) + volumes.astype("<f4").tobytes(order="F")
+    return bytes(header)
+
+
+def encode(volumes: np.ndarray, zooms=(1.0, 1.0, 1.0, 1.0), affine: np.ndarray | None = None) -> bytes:
+    """The bytes of a float32 NIfTI-1 file from an array (x, y, z, t)."""
+    return encode_header(volumes.shape, zooms, affine) + volumes.astype("<f4").tobytes(order="F")
 
 
 def scan(spark: SparkSession, path: str, pattern: str = "*.nii*") -> DataFrame:
