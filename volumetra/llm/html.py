@@ -7,8 +7,8 @@ becomes a slot. Aligning page after page changes the wrapper only at mismatches.
 their number asks for, by a hash of the page, and merged in the order of that hash, part after part, so the wrapper depends on the set of pages alone,
 and no task gets all pages of a large host.
 
-The article is the page's article or main element. All of it stays but menus, sidebars, footers, forms, scripts, notices, adverts and reader comments, known by the element
-or by a name that says just that. In pages without one the wrapper decides: slots that hold the same text on nearly all
+The article is the page's article or main element. Menus, sidebars, footers, forms, scripts, notices, adverts and reader comments in it go, known by the element
+or by a name that says just that, and so do short texts of boxes with a class that the wrapper finds to be the same in nearly all articles of the host while the articles differ. In pages without an article slots that hold the same text on nearly all
 different pages of a host are its template and go, and so do slots that are mostly links; elements with a telling name go too. What is left are the blocks.
 
 Defined results: null, empty or markup-only html gives an empty text; a page cut off in the middle gives what is there; pages without a host in their
@@ -49,10 +49,14 @@ _COMMENTS = "comments?|commentlist|respond|disqus|replies"
 _STRICT = f"ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo|banner|sidebar|menu|nav(?:bar|igation)?|breadcrumbs?|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|{_COMMENTS}"
 #: Names of elements that go outside articles, inside them, and of articles and text elements (there the name must say it alone).
 SKIPPED = re.compile(_NAMED % f"{_STRICT}|side|header|footer|masthead|alert|overlay|discussion|share|sharing|social|related|recommended|signup|login|search|pagination|pager|widget|toolbar|skip|hidden", re.I)
-SKIPPED_INSIDE = re.compile(_NAMED % _STRICT, re.I)
+#: Inside articles a name must consist of such words and words for a place or a box: ``banner-history`` and ``cookie-recipe`` are content.
+_BOX = "box|container|content|wrap|wrapper|section|area|slot|block|list|unit|bar|inner|outer|top|bottom|left|right|inline|form|signup|text|message|overlay|link|main|site|page|reader|user"
+SKIPPED_INSIDE = re.compile(rf"(?:^|\s)(?:(?:{_BOX})[_-])*(?:{_STRICT})(?:[_-](?:{_STRICT}|{_BOX}))*(?=$|\s)", re.I)
 SKIPPED_ALONE = re.compile(rf"\s*(?:ads?|adverts?|advertisement|sponsored|cookies?|{_COMMENTS})\s*", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(>|\Z)", re.S)
 _NAMES = re.compile(r"\b(class|id|role|style|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: Characters of a text within articles that may be template.
+SHORT = 200
 #: Levels of elements that take part in wrappers.
 DEEPEST = 200
 #: Different pages that are merged in one row after another.
@@ -212,17 +216,29 @@ def expression(w: list) -> str:
     return f"({body}){'*' if w[1] and w[2] else '+' if w[1] else '?'}" if w[1] or w[2] else body
 
 
-def fixed_slots(w: list, path: str = "", least: int = 3, pages: int | None = None) -> list[str]:
-    """Paths of the slots outside articles that aren't content: mostly links, or one text on nine in ten of the wrapper's pages and ``least`` at least."""
-    if w[0].split(".")[0] in ARTICLE:
-        return []
+def _varied(w: list) -> int:
+    """Characters of the slots whose text differs from page to page."""
+    return sum(_varied(x) if x[0] is not None else x[2] if x[1] is None else 0 for x in w[4])
+
+
+def fixed_slots(w: list, path: str = "", least: int = 3, pages: int | None = None, inside: bool = False) -> list[str]:
+    """Paths of the slots that aren't content: one text on nine in ten of the wrapper's pages and ``least`` at least; outside articles also mostly links.
+
+    Within articles only short texts of boxes with a class go that way, never headings, paragraphs or items, and only where most of the host's articles is not the same.
+    """
     out = []
     here = f"{path}/{w[0]}"
     pages = w[3] if pages is None else pages
+    if not inside and w[0].split(".")[0] in ARTICLE:
+        inside = True
+        if w[3] < least or 10 * w[3] < 9 * pages or _varied(w) < SHORT * w[3]:
+            return []
     for x in w[4]:
         if x[0] is not None:
-            out += fixed_slots(x, here, least, pages)
-        elif (x[1] is not None and x[4] >= least and 10 * x[4] >= 9 * pages) or 2 * x[3] > x[2]:
+            out += fixed_slots(x, here, least, pages, inside)
+        elif x[1] is not None and x[4] >= least and 10 * x[4] >= 9 * pages and (not inside or x[2] <= SHORT * x[4] and "." in w[0] and w[0].split(".")[0] not in WORDS | set(ARTICLE)):
+            out.append(here)
+        elif not inside and 2 * x[3] > x[2]:
             out.append(here)
     slots: dict[str, bool] = {}
     for x in w[4]:
@@ -245,7 +261,7 @@ def main_text(source: str | None, fixed: set = frozenset()) -> str:
             stack.pop()
         elif type(x) is list:
             s = " ".join("".join(x[0]).split())
-            if s and inside:
+            if s and inside and path not in fixed:
                 articles.append(s)
             elif s and path not in fixed:
                 others.append(s)
