@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volumetra.llm import wordhash as wh
-from volumetra.llm.common import lean, text_or_empty
+from volumetra.llm.common import lean, release, text_or_empty
 
 U = np.uint64
 SAMPLE, LANDMARKS, DECAY, SPAN, BITS = 2000, 192, 0.6, 6, 16
@@ -142,8 +142,8 @@ def _dense(words: list[str]) -> np.ndarray:
 def _project(words: list[str], basis: np.ndarray) -> np.ndarray:
     """Kernel features of the words times ``basis`` (2**BITS, k)."""
     out = np.zeros((len(words), basis.shape[1]), np.float32)
-    for i in range(0, len(words), CHUNK // 4):
-        word, key, weight = subsequences(words[i : i + CHUNK // 4])
+    for i in range(0, len(words), CHUNK // 20):  # a row of the basis for each subsequence
+        word, key, weight = subsequences(words[i : i + CHUNK // 20])
         if len(word):
             own, first = np.unique(word, return_index=True)
             out[i + own] = np.add.reduceat(basis[key] * weight[:, None].astype(np.float32), first, axis=0)
@@ -212,7 +212,8 @@ def _trained(data: _Bags, landmarks: int) -> Model | None:
     value, vector = np.linalg.eigh((base @ base.T).astype(float))
     good = value > 1e-6
     root = vector[:, good] / np.sqrt(value[good])
-    basis = (base.T @ root.astype(np.float32)).astype(np.float32)
+    basis = (base.T @ root.astype(np.float32)).astype(np.float32, copy=False)
+    del base
     maybe = sorted(w for w, r in data.likely.items() if r > 0.8 and len(w) > 2)
     live = set(negative[: max(1000, len(marks))])  # the working set of the negative side
     z_of: dict[str, np.ndarray] = {}
@@ -317,7 +318,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     rows = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__t")).join(picked, "__id")
     rows = rows.groupBy("__id").agg(F.min("__t").alias("__t"), F.first("__y").alias("__y"))
     got = sorted(map(tuple, rows.collect()))  # the documented, bounded sample
-    return fit([t for _, t, _ in got], [y for _, _, y in got], counts[1] / (counts[0] + counts[1])) if got else None
+    try:
+        return fit([t for _, t, _ in got], [y for _, _, y in got], counts[1] / (counts[0] + counts[1])) if got else None
+    finally:
+        del got
+        release()  # the driver goes on to other stages
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
