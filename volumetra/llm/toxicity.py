@@ -260,7 +260,9 @@ def fit(texts: list[str], labels: list[int], share: float, landmarks: int = LAND
     y = np.array(labels)
     if not (0 < y.sum() < len(y)):
         return None
-    counts = [Counter(p for w in (t or "").split() if (n := normal(w)) for p in _parts(n)) for t in texts]
+    one = {}  # each different word is held once
+    counts = [Counter(one.setdefault(p, p) for w in (t or "").split() if (n := normal(w)) for p in _parts(n)) for t in texts]
+    del one
     bags = [sorted(c) for c in counts]
     kept = _different(bags)
     counts, bags, y = [counts[i] for i in kept], [bags[i] for i in kept], y[kept]
