@@ -15,6 +15,21 @@ def strict_median(v: Column) -> Column:
     return F.when(F.count(F.lit(1)) == F.count(v), F.median(v))
 
 
+def between(lo: Column, hi: Column, share: Column) -> Column:
+    """lo * (1 - share) + hi * share, the first product taken with its rounding error (as a fused multiply-add has it, and the engine's quantiles).
+
+    So of two neighbouring values it gives one of the two, and of two equal ones that value; the plain sum can be less than both, and a row at the quantile would lie above it.
+    """
+    rest = 1 - share
+    halves = lambda a: (lambda high: (high, a - high))(a * 134217729.0 - (a * 134217729.0 - a))
+    (ah, al), (bh, bl) = halves(lo), halves(rest)
+    p, q = lo * rest, hi * share
+    lost = ah * bh - p + ah * bl + al * bh + al * bl
+    s = p + q
+    carried = (p - (s - (s - p))) + (q - (s - p))
+    return F.when(F.abs(lo).between(1e-200, 1e200), s + (carried + lost)).otherwise(s)
+
+
 def pearson(t: Column, p: Column) -> Column:
     return safe_div(F.covar_pop(t, p), F.stddev_pop(t) * F.stddev_pop(p))
 

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from volumetra.functions.scalars import between
 from volumetra.operators.stored import stored
 
 BINS, ENOUGH = 256, 256
@@ -59,8 +60,8 @@ def quantiles(rows: DataFrame, keys: Sequence[str], value: str, shares: Sequence
     found = stored(ranked(v, keys, targets, bins, enough))
     side = lambda c: found.select(*keys, F.col("rank").alias(c), F.col("value").alias(f"{c}_value"))
     both = wanted.join(side("low"), [*keys, "low"]).join(side("high"), [*keys, "high"])
-    between = F.col("low_value") + (F.col("place") - F.col("low")) * (F.col("high_value") - F.col("low_value"))
-    return both.select(*keys, "share", between.alias("value"))
+    value_ = between(F.col("low_value"), F.col("high_value"), F.col("place") - F.col("low"))
+    return both.select(*keys, "share", value_.alias("value"))
 
 
 def medians(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
