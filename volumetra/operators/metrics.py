@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from volumetra.functions.scalars import euclid, pearson, r2, strict_median
+from volumetra.functions.scalars import between, euclid, pearson, r2, strict_median
 
 VALUES = ("tx", "ty", "px", "py", "unc")
 
@@ -37,10 +37,19 @@ def by_tr(p: DataFrame, functor: Callable[[Column], Column] = strict_median) ->
     return p.groupBy("participant", "tr").agg(*[functor(F.col(c)).alias(c) for c in VALUES])
 
 
+def with_quantile(rows: DataFrame, keys: Sequence[str], value: str, share: float, name: str) -> DataFrame:
+    """``rows`` with ``name``: the quantile of ``value`` in the group, between the two nearest values as ``between`` has it. One sort by keys and value; nulls don't count."""
+    own = Window.partitionBy(*keys)
+    at = F.row_number().over(own.orderBy(F.col(value).asc_nulls_last())) - 1
+    out = rows.withColumn("__at", at).withColumn("__place", share * (F.count(value).over(own) - 1))
+    side = lambda rank: F.max(F.when(F.col("__at") == rank, F.col(value))).over(own)
+    out = out.withColumns({"__lo": side(F.floor("__place")), "__hi": side(F.ceil("__place"))})
+    return out.withColumn(name, between(F.col("__lo"), F.col("__hi"), F.col("__place") - F.floor("__place"))).drop("__at", "__place", "__lo", "__hi")
+
+
 def cut_uncertain(p: DataFrame, percent: float = 80) -> DataFrame:
     """Drop rows of a participant above the percentile of uncertainty."""
-    limit = F.percentile("unc", F.lit(percent / 100)).over(Window.partitionBy("participant"))
-    return p.withColumn("__cut", limit).where(F.col("unc") <= F.col("__cut")).drop("__cut")
+    return with_quantile(p, ["participant"], "unc", percent / 100, "__cut").where(F.col("unc") <= F.col("__cut")).drop("__cut")
 
 
 def _scores() -> list[Column]:
@@ -68,11 +77,11 @@ def scorecard(p: DataFrame, percent: float = 80, functor: Callable[[Column], Col
     nothing = lambda g: F.struct(F.lit(g).alias("granularity"), *[F.lit(None).cast("double").alias(c) for c in VALUES])
     rows = F.when(F.col("complete"), F.concat("samples", F.array(coarse))).otherwise(F.array(nothing("subtr"), nothing("tr")))
     rows = per_tr.select("participant", F.explode(rows).alias("r")).select("participant", "r.*")
-    cut = F.percentile("unc", F.lit(percent / 100)).over(Window.partitionBy("participant", "granularity"))
+    rows = with_quantile(rows, ["participant", "granularity"], "unc", percent / 100, "cut")
     kept = F.col("unc") <= F.col("cut")
     every = F.struct(F.lit("all").alias("variant"), *VALUES)
     refined = F.struct(F.lit("refined").alias("variant"), *[F.when(kept, F.col(c)).alias(c) for c in VALUES])
-    both = rows.withColumn("cut", cut).select("participant", "granularity", F.explode(F.array(every, refined)).alias("v")).select("participant", "granularity", "v.*")
+    both = rows.select("participant", "granularity", F.explode(F.array(every, refined)).alias("v")).select("participant", "granularity", "v.*")
     s = both.groupBy("participant", "variant", "granularity").agg(*_scores())
     means = {"r_mean": (F.col("r_x") + F.col("r_y")) / 2, "r2_mean": (F.col("r2_x") + F.col("r2_y")) / 2}
     return s.withColumns(means).select("participant", "variant", "granularity", "r_x", "r_y", "r_mean", "r2_x", "r2_y", "r2_mean", "e_mean", "e_median", "e_std")
