@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,13 +90,23 @@ def scorecard(p: DataFrame, percent: float = 80, functor: Callable[[Column], Col
     return s.withColumns(means).select("participant", "variant", "granularity", "r_x", "r_y", "r_mean", "r2_x", "r2_y", "r2_mean", "e_mean", "e_median", "e_std")
 
 
-def register_hook(spark: SparkSession, name: str, one: Callable[[pd.Series], float | None]) -> None:
-    """Make ``one`` an aggregate for SQL and for ``by_tr_hook``: it gets the samples of a group, missing ones as NaN, and gives one number. A group must be small, as that of a TR is."""
+def register_hook(spark: SparkSession, name: str, one: Callable[[pd.Series], float | None], many: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> None:
+    """Make ``one`` an aggregate for SQL and for ``by_tr_hook``: it gets the samples of a group, missing ones as NaN, and gives one number. A group must be small, as that of a TR is.
+
+    ``by_tr_hook`` calls ``many`` instead, if there is one, once for a batch of groups: with all their samples, group by group, and where each group starts; it gives a number a group, NaN for none.
+    """
 
     def aggregate(v: pd.Series) -> float:
         return one(v.astype(float))
 
+    def lists(groups: pa.Array) -> pa.Array:
+        values, sizes = groups.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(groups).to_numpy(zero_copy_only=False)
+        starts = np.cumsum(sizes) - sizes
+        out = many(values, starts) if many else [one(pd.Series(v)) for v in np.split(values, starts[1:])]
+        return pa.array(np.asarray(out, float), from_pandas=True)
+
     spark.udf.register(name, F.pandas_udf(aggregate, "double"))
+    spark.udf.register(f"{name}_of_lists", F.arrow_udf(lists, "double"))
 
 
 def trimmed_mean(v: pd.Series) -> float | None:
@@ -103,9 +116,20 @@ def trimmed_mean(v: pd.Series) -> float | None:
     return float(v.sort_values().iloc[1:-1].mean()) if len(v) > 2 else float(v.mean())
 
 
+def trimmed_means(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """``trimmed_mean`` of many groups; a missing value is sorted to its group's end."""
+    sizes = np.diff(np.append(starts, len(values)))
+    order = np.lexsort((values, np.repeat(np.arange(len(starts)), sizes)))
+    v, last, cut = values[order], starts + sizes - 1, sizes > 2
+    missing = np.isnan(v[last])
+    v[starts[cut]] = v[last[cut]] = 0
+    return np.where(missing, np.nan, np.add.reduceat(v, starts) / np.where(cut, sizes - 2, sizes))
+
+
 def by_tr_hook(p: DataFrame, hook: str) -> DataFrame:
-    """One row a TR with what a registered aggregate makes of its samples. One exchange by participant and TR, in Arrow batches of groups."""
-    return p.groupBy("participant", "tr").agg(*[F.call_function(hook, F.col(c).cast("double")).alias(c) for c in VALUES])
+    """One row a TR with what a registered aggregate makes of its samples, missing ones as NaN. Groups go to Python as lists, many in an Arrow batch."""
+    lists = p.groupBy("participant", "tr").agg(*[F.collect_list(F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))).alias(c) for c in VALUES])
+    return lists.select("participant", "tr", *[F.call_function(f"{hook}_of_lists", F.col(c)).alias(c) for c in VALUES])
 
 
 def scorecard_by_tr(coarse: DataFrame) -> DataFrame:

@@ -67,6 +67,6 @@ def _trimmed(c: str) -> str:
     FROM t WHERE tx IS NOT NULL AND ty IS NOT NULL GROUP BY 1""")
 def scorecard_trimmed(spark, sf_dir):
     """The scores by TR with a trimmed mean, an aggregate that is registered for SQL, in place of the median."""
-    metrics.register_hook(spark, "trimmed_mean", metrics.trimmed_mean)
+    metrics.register_hook(spark, "trimmed_mean", metrics.trimmed_mean, metrics.trimmed_means)
     coarse = metrics.by_tr_hook(metrics.predict_by_mean(gaze(spark, sf_dir)), "trimmed_mean")
     return rounded(metrics.scorecard_by_tr(coarse).select("participant", "e_mean", "e_median"))
