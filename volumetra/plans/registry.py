@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 QUERIES: dict = {}
@@ -21,8 +21,13 @@ def query(sql: str | None):
     return add
 
 
+def sixth(v: Column) -> Column:
+    """A double to six places as the SQL engine has it: the millionfold to a whole number. ``F.round(v, 6)`` takes the decimal digits instead and differs where the product rounds to a half."""
+    return F.when(F.abs(v) < 1e300, F.round(v * 1e6) / 1e6).otherwise(v)
+
+
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[sixth(F.col(c)).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
 
 
 #: Gaze samples, voxels, grids and predictions in SQL.
